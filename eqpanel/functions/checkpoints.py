@@ -1,30 +1,34 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage through a table in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there.
+    """Write ``df`` once and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a scratch folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``, so the
+    data outlives its executors. Stored as Parquet: later readers take only the
+    columns they use. Only a local session without that setting gets a scratch
+    folder.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def checkpoint_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(shared)
+    if shared:
+        return shared.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not hasattr(checkpoint_dir, "scratch"):
+        checkpoint_dir.scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return checkpoint_dir.scratch

@@ -32,12 +32,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 def average_rank_pct(value: Column, *keys: str) -> Column:
     """Percentile 0..100 with ties sharing their mean rank; null stays null.
 
-    For groups that fit one task. Nulls sort last and are not counted.
+    For groups that fit one task. The mean rank lies halfway between the first and
+    the last rank of the ties, and both come from one sort. Nulls sort last and
+    are not counted.
     """
     w = Window.partitionBy(*keys)
-    peers = F.count(value).over(Window.partitionBy(*keys, value))
-    rank = F.rank().over(w.orderBy(value.asc_nulls_last()))
-    return F.when(value.isNotNull(), (rank + (peers - 1) / 2) / F.count(value).over(w) * 100)
+    by_value = w.orderBy(value.asc_nulls_last())
+    upto = F.count(value).over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(by_value) + upto) / 2 / F.count(value).over(w) * 100)
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -30,14 +30,63 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
-def _as_units(df: DataFrame, name: str) -> tuple[Column, float | None]:
+def _as_units(schema: T.StructType, name: str) -> tuple[str, float | None]:
     """Column as whole units, and the unit size; None when it is a float."""
-    kind = df.schema[name].dataType
+    kind = schema[name].dataType
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.col(name).cast("long"), 1.0
+        return f"bigint({name})", 1.0
     if isinstance(kind, T.DecimalType) and kind.scale <= 6:
-        return (F.col(name) * F.lit(10**kind.scale)).cast("long"), float(10**kind.scale)
-    return F.col(name).cast("double"), None
+        return f"bigint({name} * {10**kind.scale})", float(10**kind.scale)
+    return f"double({name})", None
+
+
+def over(keys: str | Sequence[str], order: str, frame: str = "") -> str:
+    """OVER clause text. Long expressions are written as SQL text in this module:
+    one call to the JVM each, instead of one per operator."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return f"OVER ({part}ORDER BY {order}{' ' + frame if frame else ''})"
+
+
+RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+class RollingMeans:
+    """Rolling means in two steps that callers may merge with other window columns.
+
+    A spec is (input, window rows, least observations, output). Whole-number and
+    decimal inputs use running totals and their lag: exact, and the work per row
+    does not depend on the window length. Floats use a sliding frame, because
+    differences of running float totals lose digits.
+    """
+
+    def __init__(self, df: DataFrame, specs, keys="symbol", order="trading_date"):
+        self.specs, self.keys, self.order = specs, keys, order
+        schema = df.schema
+        self.inputs = {s[0]: _as_units(schema, s[0]) for s in specs}
+
+    def totals(self) -> dict[str, Column]:
+        w = over(self.keys, self.order, RUNNING)
+        out = {}
+        for name, (units, scale) in self.inputs.items():
+            if scale is not None:
+                out[f"__sum_{name}"] = F.expr(f"coalesce(sum({units}) {w}, 0L)")
+                out[f"__cnt_{name}"] = F.expr(f"count({units}) {w}")
+        return out
+
+    def means(self) -> dict[str, Column]:
+        w = over(self.keys, self.order)
+        out = {}
+        for name, size, least, alias in self.specs:
+            units, scale = self.inputs[name]
+            if scale is None:
+                f = over(self.keys, self.order, f"ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW")
+                n, mean = f"count({units}) {f}", f"avg({units}) {f}"
+            else:
+                n, total = (f"({c} - lag({c}, {size}, 0L) {w})" for c in (f"__cnt_{name}", f"__sum_{name}"))
+                mean = f"try_divide(double({total}), {n} * {scale}D)"
+            out[alias] = F.expr(f"CASE WHEN {n} >= {least} THEN {mean} END")
+        return out
 
 
 def rolling_means(
@@ -46,92 +95,78 @@ def rolling_means(
     keys: str | Sequence[str] = "symbol",
     order: str = "trading_date",
 ) -> DataFrame:
-    """Add rolling means. A spec is (input, window rows, least observations, output).
+    r = RollingMeans(df, specs, keys, order)
+    totals = r.totals()
+    out = df.withColumns(totals) if totals else df
+    return out.withColumns(r.means()).drop(*totals)
+
+
+def rolling_zscore(
+    value: str, size: int, least: int, keys: str | Sequence[str] = "symbol", order: str = "trading_date"
+) -> Column:
+    """Deviation of an SQL value from its rolling mean in population standard deviations."""
+    f = over(keys, order, f"ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW")
+    x = f"double({value})"
+    return F.expr(
+        f"CASE WHEN count({x}) {f} >= {least} THEN ({x} - avg({x}) {f}) / nullif(stddev_pop({x}) {f}, 0D) END"
+    )
+
+
+class Smoothing:
+    """Recursive smoothing y_t = (1-a) y_{t-1} + a x_t seeded with the first value.
 
-    Whole-number and decimal inputs use running totals and their lag: exact, and
-    the work per row does not depend on the window length. Floats use a sliding
-    frame, because differences of running float totals lose digits.
+    A spec is (input, a, least observations, output) or the same with the number of
+    leading rows whose input is null; other nulls are not allowed. Written without
+    recursion: with b = 1-a, ``y_t = b^j * sum(c_i x_i b^-i) + b^(j+1) * y(end of the
+    block before)``. The exponent restarts every ``block`` rows so that b^-i stays
+    finite; blocks further back than ``depth`` weigh less than a double can hold.
     """
-    w = series_window(keys, order)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    exact = {s[0]: _as_units(df, s[0]) for s in specs}
-    totals = {}
-    for name, (units, scale) in exact.items():
-        if scale is not None:
-            totals[f"__sum_{name}"] = F.coalesce(F.sum(units).over(running), F.lit(0))
-            totals[f"__cnt_{name}"] = F.count(units).over(running)
-    out = df.withColumns(totals) if totals else df
-    means = {}
-    for name, size, least, alias in specs:
-        units, scale = exact[name]
-        if scale is None:
-            frame = w.rowsBetween(-(size - 1), Window.currentRow)
-            n, mean = F.count(units).over(frame), F.avg(units).over(frame)
-        else:
-            n = F.col(f"__cnt_{name}") - F.coalesce(F.lag(f"__cnt_{name}", size).over(w), F.lit(0))
-            total = F.col(f"__sum_{name}") - F.coalesce(F.lag(f"__sum_{name}", size).over(w), F.lit(0))
-            mean = total.cast("double") / F.lit(scale) / F.nullif(n, F.lit(0))
-        means[alias] = F.when(n >= least, mean)
-    return out.withColumns(means).drop(*totals)
-
-
-def rolling_zscore(value: Column, size: int, least: int, w: WindowSpec) -> Column:
-    """Deviation from the rolling mean in population standard deviations."""
-    frame = w.rowsBetween(-(size - 1), Window.currentRow)
-    x = value.cast("double")
-    spread = F.nullif(F.stddev_pop(x).over(frame), F.lit(0.0))
-    return F.when(F.count(x).over(frame) >= least, (x - F.avg(x).over(frame)) / spread)
+
+    def __init__(self, specs, keys="symbol", order="trading_date", block: int = 4096):
+        self.specs = [(*s, 0)[:5] for s in specs]
+        self.keys = [keys] if isinstance(keys, str) else list(keys)
+        self.order = order
+        self.block = min([block] + [int(600 / -math.log1p(-s[1])) for s in self.specs])
+        self.helpers = ["__pos", "__blk", "__j"] + [f"__y{i}" for i in range(len(self.specs))]
+
+    def position(self) -> dict[str, Column]:
+        return {"__pos": F.expr(f"row_number() {over(self.keys, self.order)} - 1")}
+
+    def blocks(self) -> dict[str, Column]:
+        return {"__blk": F.expr(f"__pos div {self.block}"), "__j": F.expr(f"double(__pos % {self.block})")}
+
+    def local(self) -> dict[str, Column]:
+        inside = over([*self.keys, "__blk"], self.order, RUNNING)
+        out = {}
+        for i, (name, a, _, _, skip) in enumerate(self.specs):
+            term = f"{name} * if(__pos = {skip}, 1D, {a!r}D) * pow({1 - a}D, -__j)"
+            out[f"__y{i}"] = F.expr(f"pow({1 - a}D, __j) * sum({term}) {inside}")
+        return out
+
+    def smoothed(self) -> dict[str, Column]:
+        out = {}
+        for i, (_, a, least, alias, skip) in enumerate(self.specs):
+            b = 1 - a
+            depth = max(1, math.ceil(40.0 / (-math.log(b) * self.block)))
+            y = f"__y{i}"
+            for back in range(1, depth + 1):
+                w = over(self.keys, "__blk", f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING")
+                end = f"max(CASE WHEN __j = {self.block - 1} THEN __y{i} END) {w}"
+                y += f" + coalesce(pow({b!r}D, __j + {1 + (back - 1) * self.block}) * {end}, 0D)"
+            out[alias] = F.expr(f"CASE WHEN __pos >= {least - 1 + skip} THEN {y} END")
+        return out
 
 
 def ewm(
     df: DataFrame,
-    specs: Sequence[tuple[str, float, int, str]],
+    specs: Sequence[tuple],
     keys: str | Sequence[str] = "symbol",
     order: str = "trading_date",
     block: int = 4096,
 ) -> DataFrame:
-    """Recursive smoothing y_t = (1-a) y_{t-1} + a x_t seeded with the first value.
-
-    A spec is (input, a, least observations, output). Inputs may be null only
-    before their first value. Written without recursion: with b = 1-a,
-    ``y_t = b^j * sum(c_i x_i b^-i) + b^(j+1) * y(end of the block before)``.
-    The exponent restarts every ``block`` rows so that b^-i stays finite; blocks
-    further back than ``depth`` weigh less than a double can hold.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    block = min([block] + [int(600 / -math.log1p(-a)) for _, a, _, _ in specs])
-    w = series_window(keys, order)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn("__pos", F.row_number().over(w) - 1)
-    out = out.withColumns(
-        {f"__k_{n}": F.count(n).over(running) for n in dict.fromkeys(s[0] for s in specs)}
-    )
-    out = out.withColumns(
-        {"__blk": F.floor(F.col("__pos") / block), "__j": (F.col("__pos") % block).cast("double")}
-    )
-    inside = Window.partitionBy(*keys, "__blk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = {}
-    for i, (name, a, _, _) in enumerate(specs):
-        b = F.lit(1.0 - a)
-        coef = F.when(F.col(f"__k_{name}") == 1, F.lit(1.0)).otherwise(F.lit(a))
-        term = F.coalesce(coef * F.col(name).cast("double"), F.lit(0.0))
-        local[f"__y{i}"] = F.pow(b, F.col("__j")) * F.sum(term * F.pow(b, -F.col("__j"))).over(inside)
-    out = out.withColumns(local)
-    blocks = Window.partitionBy(*keys).orderBy("__blk")
-    carried = {}
-    for i, (name, a, least, alias) in enumerate(specs):
-        b = 1.0 - a
-        depth = max(1, math.ceil(40.0 / (-math.log(b) * block)))
-        y = F.col(f"__y{i}")
-        ends = F.when(F.col("__j") == block - 1, y)
-        for back in range(1, depth + 1):
-            weight = F.pow(F.lit(b), F.col("__j") + 1 + (back - 1) * block)
-            y = y + weight * F.coalesce(F.max(ends).over(blocks.rangeBetween(-back, -back)), F.lit(0.0))
-        carried[alias] = F.when(F.col(f"__k_{name}") >= least, y)
-    out = out.withColumns(carried)
-    return out.drop("__pos", "__blk", "__j", *local, *[f"__k_{s[0]}" for s in specs])
+    s = Smoothing(specs, keys, order, block)
+    d = df.withColumns(s.position()).withColumns(s.blocks())
+    return d.withColumns(s.local()).withColumns(s.smoothed()).drop(*s.helpers)
 
 
 def unique_bars(bars: DataFrame, keys: Sequence[str] = ("symbol", "trading_date")) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eqpanel import params as P
 from eqpanel.functions.series import (
-    clip, ewm, ratio_return, rolling_means, rolling_zscore, series_window,
+    RollingMeans, Smoothing, over, ratio_return, rolling_zscore, series_window,
 )
 
 FEATURE_COLUMNS = (
@@ -18,106 +18,85 @@ FEATURE_COLUMNS = (
 )
 
 
-def true_range(high: Column, low: Column, previous_close: Column) -> Column:
-    # greatest skips nulls, so the first bar's range is high - low
-    return F.greatest(
-        F.abs(high - low), F.abs(high - previous_close), F.abs(low - previous_close)
-    ).cast("double")
-
-
-def rsi(average_up: Column, average_down: Column) -> Column:
-    return F.when(average_down == 0, F.lit(100.0)).otherwise(
-        100 - 100 / (1 + average_up / F.nullif(average_down, F.lit(0.0)))
-    )
-
-
 def add_baseline_features(bars: DataFrame) -> DataFrame:
     """Returns, averages, volatility, signals and setup quality per bar.
 
-    Looks only at the current and earlier bars of the same symbol.
+    Looks only at the current and earlier bars of the same symbol. Every window
+    column that needs no other one is computed in the same pass.
     """
-    w = series_window()
-    c = F.col("close").cast("double")
-    value = F.col("value") if "value" in bars.columns else F.col("close") * F.col("volume")
-    returns = {f"ret_{k}": ratio_return(c, F.lag(c, k).over(w)) for k in (1, *P.RS_HORIZONS)}
-    d = bars.withColumns(
-        {
-            "__prev": F.lag(c).over(w),
-            "volume_z60": rolling_zscore(F.col("volume"), P.ZSCORE_WINDOW, P.ZSCORE_MIN_OBS, w),
-            "turnover_z60": rolling_zscore(value, P.ZSCORE_WINDOW, P.ZSCORE_MIN_OBS, w),
-            **returns,
-        }
-    )
-    change = c - F.col("__prev")
-    d = d.withColumns(
-        {
-            "__tr": true_range(F.col("high"), F.col("low"), F.col("__prev")),
-            "__up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))),
-            "__down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
-        }
-    )
-    short, longer = P.PULLBACK_VOLUME_SHORT, min(P.MA_WINDOWS)
-    d = rolling_means(
-        d,
-        [("close", n, n, f"ma{n}") for n in P.MA_WINDOWS]
+    w = over("symbol", "trading_date")
+    names = bars.columns
+    value = "value" if "value" in names else "close * volume"
+    short, longer, n = P.PULLBACK_VOLUME_SHORT, min(P.MA_WINDOWS), P.RSI_WINDOW
+    means = RollingMeans(
+        bars,
+        [("close", k, k, f"ma{k}") for k in P.MA_WINDOWS]
         + [("volume", short, short, "__vshort"), ("volume", longer, longer, "__vlong")],
     )
-    n = P.RSI_WINDOW
-    d = ewm(
-        d,
+    smooth = Smoothing(
         [("close", 2 / (k + 1), k, f"ema{k}") for k in P.MA_WINDOWS]
-        + [("__tr", 1 / n, n, "atr14"), ("__up", 1 / n, n, "__au"), ("__down", 1 / n, n, "__ad")],
+        + [("__tr", 1 / n, n, "atr14"), ("__up", 1 / n, n, "__au", 1), ("__down", 1 / n, n, "__ad", 1)]
     )
-    return _signals(d, c, value).select(*bars.columns, *FEATURE_COLUMNS)
-
-
-def _signals(d: DataFrame, c: Column, value: Column) -> DataFrame:
-    """Row-level expressions over the windowed columns."""
-    false = F.lit(False)
-    prev = F.col("__prev")
-    d = d.withColumns(
+    d = bars.withColumns(
         {
-            "atr_pct": F.try_divide(F.col("atr14"), c),
-            "rsi14": rsi(F.col("__au"), F.col("__ad")),
-            "displacement_atr": F.abs(c - prev) / F.nullif(F.col("atr14"), F.lit(0.0)),
-            "trend_confirmed": F.coalesce(
-                (F.col("ma20") > F.col("ma50")) & (F.col("ma50") > F.col("ma200")) & (c > F.col("ma200")), false
-            ),
-            "__dist": c / F.col("ma20") - 1,
-            "__reclaim": F.coalesce((c > F.col("open")) & (c > prev), false),
-            "__location": (c - F.col("low")) / F.nullif((F.col("high") - F.col("low")).cast("double"), F.lit(0.0)),
+            "__prev": F.expr(f"double(lag(close) {w})"),
+            "volume_z60": rolling_zscore("volume", P.ZSCORE_WINDOW, P.ZSCORE_MIN_OBS),
+            "turnover_z60": rolling_zscore(value, P.ZSCORE_WINDOW, P.ZSCORE_MIN_OBS),
+            **{
+                f"ret_{k}": F.expr(f"try_divide(double(close), double(lag(close, {k}) {w})) - 1")
+                for k in (1, *P.RS_HORIZONS)
+            },
+            **means.totals(),
+            **smooth.position(),
         }
     )
-    contract = F.col("__vshort") < F.col("__vlong") * P.PULLBACK_VOLUME_MULTIPLIER
-    pullback = (
-        F.col("trend_confirmed")
-        & (c > F.col("ma200") * (1 + P.PULLBACK_TREND_BUFFER))
-        & F.col("__dist").between(*P.PULLBACK_MA_DISTANCE)
-        & contract
-        & F.col("__reclaim")
-    )
-    reversal = (
-        (F.col("rsi14") < P.REVERSAL_RSI_MAX)
-        & (c > prev)
-        & (c > F.col("ma200"))
-        & (F.col("__location") > P.REVERSAL_CLOSE_LOCATION_MIN)
-    )
-    wt = P.SETUP_WEIGHTS
-    quality = (
-        wt["trend"] * F.col("trend_confirmed").cast("double")
-        + wt["ma_distance"] * (1 - clip(F.abs("__dist") / P.SETUP_MA_DISTANCE_SCALE, 0.0, 1.0))
-        + wt["reclaim"] * F.col("__reclaim").cast("double")
-        + wt["volatility"] * (1 - clip(F.col("atr_pct") / P.SETUP_ATR_SCALE, 0.0, 1.0))
-    )
-    volume = P.VOLUME_SCORE_NEUTRAL + P.VOLUME_SCORE_SLOPE * F.coalesce("volume_z60", F.lit(0.0))
-    return d.withColumns(
+    d = d.withColumns(
         {
-            "signal_pullback": F.coalesce(pullback, false),
-            "signal_reversal": F.coalesce(reversal, false),
-            "setup_quality": clip(quality, 0.0, 1.0),
-            "volume_confirmation": clip(volume, 0.0, 1.0),
+            # greatest skips nulls, so the first bar's range is high - low
+            "__tr": F.expr("double(greatest(abs(high - low), abs(high - __prev), abs(low - __prev)))"),
+            "__up": F.expr("CASE WHEN __prev IS NOT NULL THEN greatest(close - __prev, 0D) END"),
+            "__down": F.expr("CASE WHEN __prev IS NOT NULL THEN greatest(__prev - close, 0D) END"),
+            **means.means(),
+            **smooth.blocks(),
         }
     )
+    d = d.withColumns(smooth.local()).withColumns(smooth.smoothed())
+    d = d.withColumns({k: F.expr(e) for k, e in _BASE.items()})
+    final = {k: f"{e} AS {k}" for k, e in _SIGNALS.items()}
+    return d.selectExpr(*names, *[final.get(k, k) for k in FEATURE_COLUMNS])
+
+
+# row-level expressions over the windowed columns
+_BASE = {
+    "atr_pct": "try_divide(atr14, double(close))",
+    "rsi14": "CASE WHEN __ad = 0 THEN 100D ELSE 100 - 100 / (1 + __au / __ad) END",
+    "trend_confirmed": "coalesce(ma20 > ma50 AND ma50 > ma200 AND close > ma200, false)",
+    "__distance": "close / ma20 - 1",
+    "__reclaim": "coalesce(close > open AND close > __prev, false)",
+}
+_SIGNALS = {
+    "displacement_atr": "abs(close - __prev) / nullif(atr14, 0D)",
+    "signal_pullback": (
+        f"coalesce(trend_confirmed AND close > ma200 * {1 + P.PULLBACK_TREND_BUFFER}D"
+        f" AND __distance BETWEEN {P.PULLBACK_MA_DISTANCE[0]}D AND {P.PULLBACK_MA_DISTANCE[1]}D"
+        f" AND __vshort < __vlong * {P.PULLBACK_VOLUME_MULTIPLIER}D AND __reclaim, false)"
+    ),
+    "signal_reversal": (
+        f"coalesce(rsi14 < {P.REVERSAL_RSI_MAX} AND close > __prev AND close > ma200"
+        f" AND (close - low) / nullif(double(high - low), 0D) > {P.REVERSAL_CLOSE_LOCATION_MIN}D, false)"
+    ),
+    # least skips nulls, hence the guard
+    "setup_quality": (
+        "CASE WHEN __distance IS NOT NULL AND atr_pct IS NOT NULL THEN greatest(0D, least(1D,"
+        f" {P.SETUP_WEIGHTS['trend']}D * int(trend_confirmed)"
+        f" + {P.SETUP_WEIGHTS['ma_distance']}D * (1 - least(1D, abs(__distance) / {P.SETUP_MA_DISTANCE_SCALE}D))"
+        f" + {P.SETUP_WEIGHTS['reclaim']}D * int(__reclaim)"
+        f" + {P.SETUP_WEIGHTS['volatility']}D * (1 - least(1D, atr_pct / {P.SETUP_ATR_SCALE}D)))) END"
+    ),
+    "volume_confirmation": (
+        f"greatest(0D, least(1D, {P.VOLUME_SCORE_NEUTRAL}D + {P.VOLUME_SCORE_SLOPE}D * coalesce(volume_z60, 0D)))"
+    ),
+}
 
 
 def factor_jumps(prices: DataFrame, minimum: float = P.MIN_FACTOR_JUMP) -> DataFrame:

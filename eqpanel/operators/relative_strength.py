@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eqpanel import params as P
 from eqpanel.functions.ordered import average_rank_pct, fits_one_task, quantiles, with_rank_pct
-from eqpanel.functions.series import clip, ratio_return, series_window
+from eqpanel.functions.series import ratio_return, series_window
 
 DAY = "trading_date"
 

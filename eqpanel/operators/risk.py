@@ -27,13 +27,32 @@ HELD = (
 CONTEXT = ("equity", "cash", "max_loss", "buy_rate", "sell_rate", "fixed_cost")
 
 
-def _total(positions: Column, amount, keep=None) -> Column:
-    chosen = F.filter(positions, keep) if keep is not None else positions
-    return F.aggregate(chosen, F.lit(0.0), lambda a, p: a + amount(p))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _notional(p: Column) -> Column:
-    return p["quantity"] * p["market_price"]
+def _usage(positions: Column, sector: Column, group: Column) -> Column:
+    """Held count, notional, open risk, and the parts in one sector and one group."""
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(0).alias("group_n"),
+        *[F.lit(0.0).alias(x) for x in ("total", "risk", "sector", "group")],
+    )
+
+    def add(u: Column, p: Column) -> Column:
+        notional = p["quantity"] * p["market_price"]
+        same_sector, same_group = p["sector"] == sector, p["correlated_group"] == group
+        zero = F.lit(0.0)
+        return F.struct(
+            (u["n"] + 1).alias("n"),
+            (u["group_n"] + F.when(same_group, 1).otherwise(0)).alias("group_n"),
+            (u["total"] + notional).alias("total"),
+            (u["risk"] + F.greatest(zero, p["market_price"] - p["risk_stop"]) * p["quantity"]).alias("risk"),
+            (u["sector"] + F.when(same_sector, notional).otherwise(zero)).alias("sector"),
+            (u["group"] + F.when(same_group, notional).otherwise(zero)).alias("group"),
+        )
+
+    return F.aggregate(positions, start, add)
 
 
 def _finite(c: Column) -> Column:
@@ -42,45 +61,42 @@ def _finite(c: Column) -> Column:
 
 def decide(row: dict[str, Column], account: dict[str, Column], positions: Column) -> Column:
     """struct(status, quantity, binding_constraint, estimated_loss, notional) of one row."""
+    usage = _usage(positions, row["sector"], row["group"])
+    return let(usage, lambda u: _decide(row, account, u))
+
+
+def _decide(row: dict[str, Column], account: dict[str, Column], used: Column) -> Column:
     entry, stop, adv = (_finite(row[c]) for c in ("entry", "stop", "adv"))
     equity, cash, max_loss = account["equity"], account["cash"], account["max_loss"]
     buy, sell, fixed = account["buy_rate"], account["sell_rate"], account["fixed_cost"]
-    lot = P.LOT_SIZE
-    table = F.create_map(
-        *[x for name, lim in P.REGIME_LIMITS.items() for x in (F.lit(name), F.array(*map(F.lit, lim)))]
-    )
-    limits = F.try_element_at(table, row["regime"])
-    total_limit, multiplier = F.get(limits, F.lit(0)), F.get(limits, F.lit(1))
+    lot, regime = P.LOT_SIZE, row["regime"]
+    total_limit = multiplier = F.lit(None).cast("double")
+    for name, (total, factor) in P.REGIME_LIMITS.items():
+        total_limit = F.when(regime == name, F.lit(total)).otherwise(total_limit)
+        multiplier = F.when(regime == name, F.lit(factor)).otherwise(multiplier)
     per_share = entry - stop + entry * buy + stop * sell
     budget = F.least(max_loss, equity * P.RISK_PER_TRADE * multiplier)
 
     def lots(x: Column) -> Column:
         return F.floor(x / lot) * lot
 
+    def room(limit: Column, taken: Column, per: Column) -> Column:
+        return lots(F.try_divide(F.greatest(F.lit(0.0), limit - taken), per))
+
     raw = lots(F.try_divide(budget - fixed, per_share))
     stop_fraction = F.try_divide(entry - stop, entry)
     unknown = lambda c: F.coalesce(c, F.lit(True))
-    same_group = lambda p: p["correlated_group"] == row["group"]
-    same_sector = lambda p: p["sector"] == row["sector"]
-
-    def room(limit: Column, used: Column, per: Column) -> Column:
-        return lots(F.try_divide(F.greatest(F.lit(0.0), limit - used), per))
-
-    open_risk = _total(positions, lambda p: F.greatest(F.lit(0.0), p["market_price"] - p["risk_stop"]) * p["quantity"])
     ceilings = {
         "RISK_BUDGET": raw,
         "AVAILABLE_CASH": lots(F.try_divide(cash, entry)),
         "SECURITY_EXPOSURE": lots(F.try_divide(equity * P.MAX_SECURITY_EXPOSURE, entry)),
-        "TOTAL_EXPOSURE": room(equity * total_limit, _total(positions, _notional), entry),
-        "SECTOR_CONCENTRATION": room(equity * P.MAX_SECTOR_EXPOSURE, _total(positions, _notional, same_sector), entry),
-        "CORRELATED_EXPOSURE": room(equity * P.MAX_CORRELATED_EXPOSURE, _total(positions, _notional, same_group), entry),
+        "TOTAL_EXPOSURE": room(equity * total_limit, used["total"], entry),
+        "SECTOR_CONCENTRATION": room(equity * P.MAX_SECTOR_EXPOSURE, used["sector"], entry),
+        "CORRELATED_EXPOSURE": room(equity * P.MAX_CORRELATED_EXPOSURE, used["group"], entry),
         "LIQUIDITY_PARTICIPATION": lots(adv * P.MAX_ADV_PARTICIPATION),
-        "TOTAL_OPEN_RISK": room(equity * P.MAX_OPEN_RISK, open_risk + fixed, per_share),
+        "TOTAL_OPEN_RISK": room(equity * P.MAX_OPEN_RISK, used["risk"] + fixed, per_share),
     }
-    tightest = F.array_min(F.array(*[F.struct(q.alias("q"), F.lit(n).alias("name")) for n, q in ceilings.items()]))
-    quantity, binding = tightest["q"], tightest["name"]
-    loss = quantity * per_share + fixed
-    reject = F.coalesce(
+    refused = F.coalesce(
         F.when(F.length(F.coalesce(row["symbol"], F.lit(""))) == 0, "INVALID_SYMBOL"),
         F.when(unknown(entry <= 0), "ENTRY_PRICE_UNAVAILABLE"),
         F.when(unknown((stop <= 0) | (stop >= entry)), "RISK_STOP_INVALID"),
@@ -89,24 +105,38 @@ def decide(row: dict[str, Column], account: dict[str, Column], positions: Column
         F.when(unknown(adv <= 0), "LIQUIDITY_UNAVAILABLE"),
         F.when(unknown((equity <= 0) | (cash < 0) | (max_loss <= 0)), "RISK_CONTEXT_INVALID"),
         F.when(unknown((buy < 0) | (sell < 0) | (fixed < 0)), "COST_MODEL_INVALID"),
-        F.when(limits.isNull(), "REGIME_LIMIT_UNAVAILABLE"),
+        F.when(multiplier.isNull(), "REGIME_LIMIT_UNAVAILABLE"),
         F.when((budget <= fixed) | (per_share <= 0), "MAXIMUM_PERMITTED_LOSS"),
         F.when(raw < lot, "MINIMUM_LOT_RISK"),
-        F.when(F.size(positions) >= P.MAX_POSITIONS, "CONCURRENT_POSITION_LIMIT"),
-        F.when(F.size(F.filter(positions, same_group)) >= P.MAX_CORRELATED_POSITIONS, "CORRELATED_POSITION_LIMIT"),
-        F.when(quantity < lot, binding),
-        F.when(loss > max_loss + 1e-9, "MAXIMUM_PERMITTED_LOSS"),
-        F.when(quantity * entry < P.MIN_NOTIONAL, "MINIMUM_NOTIONAL"),
+        F.when(used["n"] >= P.MAX_POSITIONS, "CONCURRENT_POSITION_LIMIT"),
+        F.when(used["group_n"] >= P.MAX_CORRELATED_POSITIONS, "CORRELATED_POSITION_LIMIT"),
     )
-    ok = reject.isNull()
-    return F.struct(
-        F.when(~ok, "REJECTED").when(binding == "RISK_BUDGET", "ACCEPTED").otherwise("RESIZED").alias("status"),
-        F.when(ok, quantity).otherwise(F.lit(0)).cast("bigint").alias("quantity"),
-        F.coalesce(reject, binding).alias("binding_constraint"),
-        F.when(ok, loss).otherwise(F.lit(0.0)).alias("estimated_loss"),
-        F.when(ok, quantity * entry).otherwise(F.lit(0.0)).alias("notional"),
+    tightest = F.array_min(F.array(*[F.struct(q.alias("q"), F.lit(n).alias("name")) for n, q in ceilings.items()]))
+    sized = F.struct(
+        refused.alias("refused"), F.when(refused.isNull(), tightest).alias("best"), per_share.alias("per_share"),
+        entry.alias("entry"),
     )
 
+    def verdict(s: Column) -> Column:
+        quantity, binding = s["best"]["q"], s["best"]["name"]
+        loss = quantity * s["per_share"] + fixed
+        reject = F.coalesce(
+            s["refused"],
+            F.when(quantity < lot, binding),
+            F.when(loss > max_loss + 1e-9, "MAXIMUM_PERMITTED_LOSS"),
+            F.when(quantity * s["entry"] < P.MIN_NOTIONAL, "MINIMUM_NOTIONAL"),
+        )
+        ok = reject.isNull()
+        return F.struct(
+            F.when(~ok, "REJECTED").when(binding == "RISK_BUDGET", "ACCEPTED").otherwise("RESIZED").alias("status"),
+            F.when(ok, quantity).otherwise(F.lit(0)).cast("bigint").alias("quantity"),
+            F.coalesce(reject, binding).alias("binding_constraint"),
+            F.when(ok, loss).otherwise(F.lit(0.0)).alias("estimated_loss"),
+            F.when(ok, quantity * s["entry"]).otherwise(F.lit(0.0)).alias("notional"),
+        )
+
+    return let(sized, verdict)
+
 
 def _row(c=F.col) -> dict[str, Column]:
     names = {
@@ -155,6 +185,8 @@ def approve(
     )
     # rows refused with nothing reserved are refused later too: capacity only shrinks
     d = d.withColumn("__alone", decide(_row(), _account(), F.col("positions"))["status"] != "REJECTED")
+    # read again below, once per round or for the fold and for the decisions
+    d = checkpointed(d)
     open_rows = d.where("__alone")
     if (group_bound if group_bound is not None else largest_group(open_rows, keys)) <= P.MAX_FOLD_GROUP:
         accepted = _accepted_by_fold(open_rows, keys)
@@ -204,7 +236,7 @@ def _accepted_by_rounds(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     most ``MAX_POSITIONS`` rounds; no key is ever gathered in one task.
     """
     need = [*keys, "priority", "symbol", "sector", "correlated_group", "entry_price", "risk_stop", "adv_shares", "regime"]
-    rows = checkpointed(rows.select(*need, "positions", *CONTEXT))
+    rows = rows.select(*need, "positions", *CONTEXT)
     held = rows.groupBy(*keys).agg(F.array().cast(f"array<{HELD}>").alias("__held"))
     for _ in range(P.MAX_POSITIONS):
         d = rows.join(held, keys)

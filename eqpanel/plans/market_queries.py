@@ -66,7 +66,7 @@ def e04(spark, sf):
 
 @query("e05_rolling_zscore", "volume_z60:8")
 def e05(spark, sf):
-    z = rolling_zscore(F.col("volume"), P.ZSCORE_WINDOW, P.ZSCORE_MIN_OBS, series_window())
+    z = rolling_zscore("volume", P.ZSCORE_WINDOW, P.ZSCORE_MIN_OBS)
     return D.bars(spark, sf, with_sector=False).select("symbol", "trading_date", z.alias("volume_z60"))
 
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,19 +42,20 @@ def settle(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Whole numbers as bigint, doubles rounded (and -0.0 made 0.0)."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.IntegerType, T.ShortType)):
-            c = c.cast("long")
+            c = f"bigint({c}) AS {c}"
         elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits.get(f.name, 6)) + F.lit(0.0)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            unit = f"1e{digits.get(f.name, 6)}D"
+            c = f"rint({c} * {unit}) / {unit} + 0.0D AS {c}"
+        cols.append(c)
+    return df.selectExpr(*cols)
 
 
 def oracle(name: str, ctes: str, body: str) -> None:
     """Register the SQL of a query: shared CTEs, its body, then the rounding."""
     digits = QUERIES[name].digits
-    rounded = ", ".join(f"round({c}::DOUBLE, {d}) + 0.0 AS {c}" for c, d in digits.items())
+    rounded = ", ".join(f"round_even({c}::DOUBLE * 1e{d}, 0) / 1e{d} + 0.0 AS {c}" for c, d in digits.items())
     pick = f"* REPLACE ({rounded})" if rounded else "*"
     head = "WITH RECURSIVE " + ctes + ",\n" if ctes else "WITH "
     ORACLES[name] = f"{head}answer AS (\n{body}\n)\nSELECT {pick} FROM answer"

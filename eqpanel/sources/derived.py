@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from eqpanel.functions.series import series_window
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan a given table; its schema is read from the footer once per process."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def symbol_of(suppkey: Column) -> Column:
@@ -21,7 +28,7 @@ def symbol_of(suppkey: Column) -> Column:
 
 
 def cents(value: Column) -> Column:
-    return F.round(value * 100).cast("long")
+    return F.rint(value * 100).cast("long")
 
 
 def symbol_bound(spark: SparkSession, sf_dir: str) -> int:
@@ -29,51 +36,58 @@ def symbol_bound(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "supplier").count()
 
 
-def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, sector, nation key, and the sector of the later classification."""
-    nation = table(spark, sf_dir, "nation")
-    region = table(spark, sf_dir, "region")
+def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suppkey and the sector, which is the region of the supplier's nation."""
+    return table(spark, sf_dir, "supplier").join(
+        F.broadcast(_places(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey")
+    ).select(F.col("s_suppkey").alias("suppkey"), "s_nationkey", "sector")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     # 25 nations and 5 regions, at every scale
-    places = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
-        "n_nationkey", F.col("r_name").alias("sector")
-    )
-    later = places.select(F.col("n_nationkey").alias("later_key"), F.col("sector").alias("later_sector"))
-    s = table(spark, sf_dir, "supplier")
+    return table(spark, sf_dir, "nation").join(
+        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("n_nationkey", F.col("r_name").alias("sector"))
+
+
+def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, sector, and the sector of the later classification."""
+    later = _places(spark, sf_dir).select(F.col("n_nationkey").alias("later_key"), F.col("sector").alias("later_sector"))
     return (
-        s.join(F.broadcast(places), s.s_nationkey == places.n_nationkey)
+        sectors(spark, sf_dir)
         .join(F.broadcast(later), F.col("later_key") == (F.col("s_nationkey") + 7) % 25)
-        .select(
-            symbol_of(F.col("s_suppkey")).alias("symbol"),
-            F.col("s_suppkey").alias("suppkey"),
-            "sector",
-            "later_sector",
-        )
+        .select(symbol_of(F.col("suppkey")).alias("symbol"), "suppkey", "sector", "later_sector")
     )
 
 
 def bars(spark: SparkSession, sf_dir: str, with_sector: bool = True) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    """One bar per supplier and week.
+
+    The order lines shrink in a map-side combined aggregate before the shuffle, so
+    a supplier with a large share of all lines is no hot spot; what is left is at
+    most one row per supplier and week.
+    """
     weekly = (
-        li.groupBy(
-            symbol_of(F.col("l_suppkey")).alias("symbol"),
-            F.to_date(F.date_trunc("week", "l_shipdate")).alias("trading_date"),
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.col("l_suppkey").alias("suppkey"),
+            F.trunc(F.to_date("l_shipdate"), "week").alias("trading_date"),
         )
         .agg(
             F.sum(cents(F.col("l_discount")) - 5).alias("dm"),
             F.max(cents(F.col("l_tax"))).alias("tx"),
-            F.sum(F.round("l_quantity").cast("long")).alias("volume"),
+            F.sum(F.rint("l_quantity").cast("long")).alias("volume"),
             F.sum(cents(F.col("l_extendedprice"))).alias("value"),
         )
     )
+    if with_sector:
+        weekly = weekly.join(sectors(spark, sf_dir).drop("s_nationkey"), "suppkey", "left")
     w = series_window()
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    closes = weekly.withColumn(
-        "close", F.greatest(20000 + 100 * F.sum("dm").over(run), F.lit(1000).cast("long"))
-    )
-    opens = closes.withColumn(
-        "open", F.coalesce(F.lag("close").over(w), F.col("close")) + 50 * (F.col("volume") % 21 - 10)
-    )
-    out = opens.select(
+    level = F.greatest(20000 + 100 * F.sum("dm").over(run), F.lit(1000).cast("long"))
+    closes = weekly.withColumn("symbol", symbol_of(F.col("suppkey"))).withColumn("close", level)
+    start = F.coalesce(F.lag("close").over(w), F.col("close")) + 50 * (F.col("volume") % 21 - 10)
+    return closes.withColumn("open", start).select(
         "symbol",
         "trading_date",
         "open",
@@ -83,11 +97,8 @@ def bars(spark: SparkSession, sf_dir: str, with_sector: bool = True) -> DataFram
         "volume",
         "value",
         F.lit("p1").alias("provider"),
+        *(["sector"] if with_sector else []),
     )
-    if not with_sector:
-        return out
-    names = securities(spark, sf_dir).select("symbol", "sector")
-    return out.join(names, "symbol", "left")
 
 
 def sessions(panel: DataFrame) -> DataFrame:
