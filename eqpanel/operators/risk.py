@@ -237,13 +237,11 @@ def _accepted_by_rounds(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     need = [*keys, "priority", "symbol", "sector", "correlated_group", "entry_price", "risk_stop", "adv_shares", "regime"]
     rows = rows.select(*need, "positions", *CONTEXT)
-    held = rows.groupBy(*keys).agg(F.array().cast(f"array<{HELD}>").alias("__held"))
+    held = rows.select(*keys).distinct().withColumn("__held", F.array().cast(f"array<{HELD}>"))
+    last = F.coalesce(F.try_element_at("__held", F.lit(-1))["priority"], F.lit(-(2**62)))
+    verdict = decide(_row(), _account(), F.concat(F.col("positions"), _as_positions(F.col("__held"))))
     for _ in range(P.MAX_POSITIONS):
-        d = rows.join(held, keys)
-        last = F.coalesce(F.try_element_at("__held", F.lit(-1))["priority"], F.lit(-(2**62)))
-        d = d.where(F.col("priority") > last).withColumn(
-            "__d", decide(_row(), _account(), F.concat(F.col("positions"), _as_positions(F.col("__held"))))
-        )
+        d = rows.join(held, keys).where(F.col("priority") > last).withColumn("__d", verdict)
         nxt = d.where("__d.status <> 'REJECTED'").groupBy(*keys).agg(F.min(_held(F.col, F.col("__d.quantity"))).alias("__next"))
         nxt = checkpointed(nxt)
         if nxt.isEmpty():
