@@ -98,7 +98,10 @@ def quantiles(
     fractions: dict[str, float],
     group_bound: int | None = None,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group; ``fractions`` names them."""
+    """Exact, linearly interpolated quantiles per group; ``fractions`` names them.
+
+    A group without a value may be absent, so join the result from the left.
+    """
     keys = list(keys)
     if fits_one_task(group_bound):
         aggs = [F.percentile(value, q).alias(name) for name, q in fractions.items()]
@@ -114,7 +117,4 @@ def quantiles(
 
         share = F.max(at - low)
         aggs.append((pick(low) + (pick(high) - pick(low)) * share).alias(name))
-    found = pos.groupBy(*keys).agg(*aggs) if keys else pos.agg(*aggs)
-    if not keys:
-        return found
-    return df.select(*keys).distinct().join(found, keys, "left")
+    return pos.groupBy(*keys).agg(*aggs) if keys else pos.agg(*aggs)

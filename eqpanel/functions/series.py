@@ -169,6 +169,27 @@ def ewm(
     return d.withColumns(s.local()).withColumns(s.smoothed()).drop(*s.helpers)
 
 
+def rolling_extreme(
+    df: DataFrame, value: str, size: int, out: str, largest: bool = True, keys: str = "symbol", order: str = "trading_date"
+) -> DataFrame:
+    """Maximum (or minimum) of the last ``size`` rows, fewer at the start.
+
+    Any such window spans at most two blocks of ``size`` rows: it is the end of one
+    and the start of the next. Both come from running extremes, so the work per row
+    does not depend on the window length.
+    """
+    f, pick = ("max", "greatest") if largest else ("min", "least")
+    d = df.withColumn("__b", F.expr(f"(row_number() {over(keys, order)} - 1) div {size}"))
+    d = d.withColumns(
+        {
+            "__tail": F.expr(f"{f}({value}) {over([keys, '__b'], order + ' DESC', RUNNING)}"),
+            "__head": F.expr(f"{f}({value}) {over([keys, '__b'], order, RUNNING)}"),
+        }
+    )
+    reach = f"lag(__tail, {size - 1}) {over(keys, order)}"
+    return d.withColumn(out, F.expr(f"{pick}(__head, {reach})")).drop("__b", "__tail", "__head")
+
+
 def unique_bars(bars: DataFrame, keys: Sequence[str] = ("symbol", "trading_date")) -> DataFrame:
     """One row per key, the same one whatever the input order.
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eqpanel import params as P
-from eqpanel.functions.ordered import quantiles
+from eqpanel.functions.checkpoints import checkpointed
+from eqpanel.functions.ordered import fits_one_task, quantiles
 from eqpanel.functions.rules import Costs, floor_price, net_return, round_down_to_tick
 from eqpanel.functions.series import series_window
 
@@ -172,6 +173,9 @@ def trade_metrics(trade_rows: DataFrame, by: Sequence[str] = (), group_bound: in
     slice fits one task.
     """
     by = list(by)
+    if not fits_one_task(group_bound):
+        # read twice below; two narrow columns instead of the labelling again
+        trade_rows = checkpointed(trade_rows.select(*by, "net_return"))
     r = F.col("net_return")
     won, lost = F.sum(F.when(r > 0, r)), -F.sum(F.when(r < 0, r))
     aggs = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eqpanel import params as P
 from eqpanel.functions.rules import ceiling_price, finite_positive, floor_price, round_down_to_tick
-from eqpanel.functions.series import ewm, rolling_means, series_window
+from eqpanel.functions.series import ewm, rolling_extreme, rolling_means, series_window
 from eqpanel.operators.outcomes import entry_fill
 from eqpanel.operators.risk import decide
 
@@ -55,10 +55,9 @@ def price_plan(
     """
     w = series_window()
     d = rolling_means(features, [("volume", 20, 20, "adv_shares")])
-    d = d.withColumns(
+    d = rolling_extreme(d, "double(high)", high_sessions, "__ceiling").withColumns(
         {
             "__low": F.min("low").over(w.rowsBetween(-(structure_sessions - 1), 0)).cast("double"),
-            "__ceiling": F.max("high").over(w.rowsBetween(-(high_sessions - 1), 0)).cast("double"),
             "entry_price": round_down_to_tick(F.col("close") * (1 + premium)),
         }
     )
@@ -138,6 +137,49 @@ def detect_candidates(
     )
 
 
+def select_signals(candidates: DataFrame, top: int = 3, per_sector: int = 2) -> DataFrame:
+    """The day's report: best composites, with a limit per sector and overall.
+
+    The limits are the feature; Spark prunes each group to them before the shuffle.
+    """
+    composite = 0.6 * F.col("score") / 100 + 0.4 * F.col("win_probability")
+    d = candidates.withColumn("composite", composite)
+    best = [F.col("composite").desc(), F.col("symbol")]
+    d = d.withColumn("__s", F.row_number().over(Window.partitionBy(DAY, "sector").orderBy(*best))).where(F.col("__s") <= per_sector)
+    d = d.withColumn("selection_rank", F.row_number().over(Window.partitionBy(DAY).orderBy(*best)))
+    return d.where(F.col("selection_rank") <= top).drop("__s")
+
+
+def gate_funnel(features: DataFrame) -> DataFrame:
+    """First failing gate of every row: regime, profile, dual condition, setup, geometry.
+
+    Needs regime_level, archetype, the relative-strength ranks, the signals and the
+    price plan. ``PASSED`` rows go on to scoring.
+    """
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    long_rank, short = F.col("rs_stock_market_rank_126"), F.col("rs_stock_market_rank_20")
+    gate = F.coalesce(
+        F.when(~ok(F.col("regime_level") > 0), "GATE0_REGIME"),
+        F.when(~ok(F.col("archetype") != "EXCLUDED"), "GATE1_ELIGIBILITY"),
+        F.when(~ok((long_rank >= P.RS_LONG_MIN) & (short <= P.RS_SHORT_PULLBACK_MAX)), "GATE4A_DUAL_CONDITION"),
+        F.when(~ok(F.col("signal_pullback") | F.col("signal_reversal")), "GATE4B_SETUP"),
+        F.when(~ok(F.col("plan_valid") & (F.col("r_unit") / F.col("atr14") >= 0.8)), "GATE5_GEOMETRY"),
+        F.lit("PASSED"),
+    )
+    return features.withColumn("gate", gate)
+
+
+def gap_action(gap: Column, threshold: Column, at_ceiling: Column) -> Column:
+    """What to do before an order when the price has moved since the signal."""
+    return (
+        F.when(at_ceiling, "CANCEL")
+        .when(gap < -0.02, "REVIEW")
+        .when(gap <= threshold * 0.5, "PROCEED")
+        .when(gap <= threshold, "REDUCE")
+        .when(gap > threshold, "CANCEL")
+    )
+
+
 LINEAGE_KEYS = ("provider", "snapshot_id", "canonical_revision", "ingested_at")
 
 

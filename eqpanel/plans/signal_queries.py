@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from eqpanel import params as P
 from eqpanel.functions import rules as R
 from eqpanel.functions.series import rolling_means, series_window
+from eqpanel.functions.checkpoints import checkpointed
+from eqpanel.operators import features as FE
+from eqpanel.operators import market as MK
 from eqpanel.operators import outcomes as O
 from eqpanel.operators import relative_strength as RS
 from eqpanel.operators import risk as RK
@@ -140,9 +143,11 @@ def l01(spark, sf):
 
 def _candidates(spark, sf) -> DataFrame:
     bound = D.symbol_bound(spark, sf)
-    panel = D.bars(spark, sf)
     f = RS.add_cross_sectional_rs(M._features(spark, sf), symbols_bound=bound)
-    regimes = M.h04(spark, sf)
+    # the feature panel is written once; the four tables below read a few columns each
+    keep = ["symbol", "trading_date", "sector", "close", "value", *FE.FEATURE_COLUMNS]
+    f = checkpointed(f.select(*keep, *[c for c in f.columns if c.startswith("rs_")]))
+    regimes = MK.regimes(M._cap(spark, sf), MK.equal_weight_index(f), MK.breadth(f))
     return S.detect_candidates(f, regimes, RS.sector_scores(f, symbols_bound=bound), F.lit(65), F.lit(True))
 
 
