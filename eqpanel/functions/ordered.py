@@ -82,13 +82,39 @@ def with_rank_pct(
     df: DataFrame, keys: Sequence[str], value: str, out: str, group_bound: int | None = None
 ) -> DataFrame:
     """Add the average-tie percentile of ``value`` within ``keys``."""
+    return with_rank_pcts(df, [(keys, value, out)], group_bound)
+
+
+def with_rank_pcts(
+    df: DataFrame, ranks: Sequence[tuple[Sequence[str], str, str]], group_bound: int | None = None
+) -> DataFrame:
+    """Add several (keys, value, out) percentiles."""
+    if fits_one_task(group_bound):
+        return df.withColumns({out: average_rank_pct(F.col(value), *keys) for keys, value, out in ranks})
+    # each rank table is built from the stored rows, not from the joins before it
+    base = result = checkpointed(df)
+    for keys, value, out in ranks:
+        pct = (F.col("before") + (F.col("n") + 1) / 2) / F.col("total") * 100
+        table = value_positions(base, keys, value).select(*keys, value, pct.alias(out))
+        result = result.join(table, [*keys, value], "left")
+    return result.select(*df.columns, *[out for _, _, out in ranks])
+
+
+def with_row_number(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, group_bound: int | None = None
+) -> DataFrame:
+    """Number the rows of each group in a total order, from 1."""
     keys = list(keys)
     if fits_one_task(group_bound):
-        return df.withColumn(out, average_rank_pct(F.col(value), *keys))
-    ranks = value_positions(df, keys, value).select(
-        *keys, value, ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total") * 100).alias(out)
-    )
-    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn("__blk", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "__blk").orderBy(*order))
+    d = blocks.withColumn("__rn", inside).join(sizes, [*keys, "__blk"])
+    return d.withColumn(out, F.col("__before") + F.col("__rn")).select(*df.columns, out)
 
 
 def quantiles(

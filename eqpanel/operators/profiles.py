@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eqpanel.functions.ordered import average_rank_pct
+from eqpanel.functions.ordered import with_rank_pcts
 from eqpanel.functions.series import ewm, rolling_means, series_window
 
 
@@ -139,14 +139,12 @@ def triple_barrier(plan: DataFrame, hold: int = 20) -> DataFrame:
     return d.select("symbol", "trading_date", label.alias("barrier"), F.col("__hit.k").alias("sessions"))
 
 
-def rank_ic(factors: DataFrame, factor: str, outcome: str) -> DataFrame:
-    """Rank correlation of a factor with what followed, per session.
-
-    For cross-sections that fit one task.
-    """
+def rank_ic(factors: DataFrame, factor: str, outcome: str, symbols_bound: int | None = None) -> DataFrame:
+    """Rank correlation of a factor with what followed, per session."""
     d = factors.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
-    d = d.withColumns({"__x": average_rank_pct(F.col(factor), "trading_date"), "__y": average_rank_pct(F.col(outcome), "trading_date")})
-    return d.groupBy("trading_date").agg(F.count(F.lit(1)).alias("symbols"), F.corr("__x", "__y").alias("rank_ic"))
+    day = ["trading_date"]
+    d = with_rank_pcts(d, [(day, factor, "__x"), (day, outcome, "__y")], symbols_bound)
+    return d.groupBy(*day).agg(F.count(F.lit(1)).alias("symbols"), F.corr("__x", "__y").alias("rank_ic"))
 
 
 def hit_rates(trades: DataFrame, by, least: int = 30) -> DataFrame:

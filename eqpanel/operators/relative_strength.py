@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eqpanel import params as P
-from eqpanel.functions.ordered import average_rank_pct, fits_one_task, quantiles, with_rank_pct
+from eqpanel.functions.ordered import average_rank_pct, fits_one_task, quantiles, with_rank_pcts
 from eqpanel.functions.series import ratio_return, series_window
 
 DAY = "trading_date"
@@ -47,12 +47,8 @@ def add_cross_sectional_rs(
         )
     ]
     named = {n: f"{n.rsplit('_', 1)[0]}_rank_{n.rsplit('_', 1)[1]}" for n, _ in ranks}
-    if fits_one_task(symbols_bound):
-        # null sectors have no sector return, so their sector rank stays null
-        return d.withColumns({named[n]: average_rank_pct(F.col(n), *keys) for n, keys in ranks})
-    for n, keys in ranks:
-        d = with_rank_pct(d, keys, n, named[n])
-    return d
+    # null sectors have no sector return, so their sector rank stays null
+    return with_rank_pcts(d, [(keys, n, named[n]) for n, keys in ranks], symbols_bound)
 
 
 def _group_means(d: DataFrame, horizons: Sequence[int], symbols_bound: int | None) -> DataFrame:

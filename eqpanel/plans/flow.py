@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eqpanel import params as P
 from eqpanel.functions.checkpoints import checkpointed
+from eqpanel.functions.ordered import with_row_number
 from eqpanel.operators import features as FE
 from eqpanel.operators import market as MK
 from eqpanel.operators import relative_strength as RS
@@ -53,8 +54,8 @@ def recommend(
     c = S.detect_candidates(
         analysed["features"], analysed["regimes"], analysed["sector_scores"], dq_score, dq_actionable
     ).where(dq_score >= P.DQ_ACTIONABLE_BLOCK)
-    best = Window.partitionBy(DAY).orderBy(F.col("score").desc(), "symbol")
-    c = checkpointed(c.withColumn("priority", F.row_number().over(best)))
+    best = [F.col("score").desc(), F.col("symbol")]
+    c = checkpointed(with_row_number(c, [DAY], best, "priority", group_bound))
     asked = contexts.select("account").join(c)
     decisions = RK.approve(asked, contexts, ["account", DAY], ["account"], group_bound)
     keys = ["account", DAY, "symbol"]

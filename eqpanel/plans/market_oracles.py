@@ -285,11 +285,13 @@ WHERE abs(f / pf - 1) >= 0.005""")
         f"lead({c}) {W} AS next_{c}" for c in ("trading_date", "open", "high", "low")) + " FROM bars")
     rs = chain(BARS, RS)
     oracle("h02_relative_strength", rs, "SELECT * FROM rs20 JOIN rs126 USING (symbol, trading_date)")
+    oracle("h02_relative_strength_split", rs, "SELECT * FROM rs20 JOIN rs126 USING (symbol, trading_date)")
     oracle("d01_d02_group_returns", rs, "SELECT DISTINCT trading_date, b.sector, market_return_20, sector_return_20 FROM rs20 JOIN bars b USING (symbol, trading_date)")
     oracle("d03_equal_weight_index", chain(BARS, EW), "SELECT * FROM ew")
     oracle("d04_d08_breadth", chain(BARS, BREADTH), "SELECT * FROM breadth")
     sc = chain(FEAT, RS, SECTORS)
     oracle("d09_h06_sector_scores", sc, "SELECT * FROM sectors")
+    oracle("d09_h06_sector_scores_split", sc, "SELECT * FROM sectors")
     oracle("h06_sector_scores_latest", sc, "SELECT * FROM sectors WHERE trading_date = (SELECT max(trading_date) FROM bars)")
     oracle("e18_index_indicators", chain(BARS, CAP), "SELECT * FROM ixi")
     oracle("h05_official_index", chain(BARS, CAP), "SELECT * FROM capx")

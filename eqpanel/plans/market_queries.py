@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eqpanel import params as P
-from eqpanel.functions.ordered import average_rank_pct
+from eqpanel.functions.checkpoints import checkpointed
+from eqpanel.functions.ordered import with_rank_pct
 from eqpanel.functions.series import (
     ewm, ratio_return, rolling_means, rolling_zscore, series_window,
 )
@@ -16,6 +17,9 @@ from eqpanel.operators import relative_strength as RS
 from eqpanel.plans.registry import query
 from eqpanel.sources import derived as D
 
+_SECTOR_FLOATS = (
+    "rs20:8 rs126:8 breadth volume_impulse:8 rs20_rank rs126_rank breadth_rank volume_impulse_rank leadership_score"
+)
 INDEX_PRIORITY = ("IDXA", "IDXB")
 
 
@@ -101,8 +105,6 @@ def e10(spark, sf):
 
 @query("e11_percentile_rank", "volume_rank")
 def e11(spark, sf):
-    from eqpanel.functions.ordered import with_rank_pct
-
     return with_rank_pct(
         D.bars(spark, sf, with_sector=False), ["trading_date"], "volume", "volume_rank", D.symbol_bound(spark, sf)
     ).select("symbol", "trading_date", "volume_rank")
@@ -111,8 +113,6 @@ def e11(spark, sf):
 @query("e11_percentile_rank_split", "volume_rank")
 def e11_split(spark, sf):
     """The same ranks with no bound on the group: ordered blocks instead of a window."""
-    from eqpanel.functions.ordered import with_rank_pct
-
     return with_rank_pct(
         D.bars(spark, sf, with_sector=False), ["trading_date"], "volume", "volume_rank"
     ).select("symbol", "trading_date", "volume_rank")
@@ -178,6 +178,21 @@ def h02(spark, sf):
     return d.select("symbol", "trading_date", *[w.split(":")[0] for w in _RS_FLOATS.split()])
 
 
+@query("h02_relative_strength_split", _RS_FLOATS)
+def h02s(spark, sf):
+    """The same with no bound on the cross-section: joins and ordered blocks."""
+    d = RS.add_cross_sectional_rs(D.bars(spark, sf))
+    return d.select("symbol", "trading_date", *[w.split(":")[0] for w in _RS_FLOATS.split()])
+
+
+@query("d09_h06_sector_scores_split", _SECTOR_FLOATS)
+def d09s(spark, sf):
+    """Sector scores with exact medians from ordered blocks."""
+    cols = ["symbol", "trading_date", "sector", "close", "ma50", "volume_z60"]
+    cols += [f"rs_sector_market_{h}" for h in P.RS_HORIZONS]
+    return RS.sector_scores(checkpointed(_rs(spark, sf).select(*cols)))
+
+
 @query("d01_d02_group_returns", "market_return_20:8 sector_return_20:8")
 def d01(spark, sf):
     w, c = series_window(), F.col("close").cast("double")
@@ -203,11 +218,6 @@ def _sector_scores(spark, sf, **kw):
     return RS.sector_scores(_rs(spark, sf).select(*cols), symbols_bound=D.symbol_bound(spark, sf), **kw)
 
 
-_SECTOR_FLOATS = (
-    "rs20:8 rs126:8 breadth volume_impulse:8 rs20_rank rs126_rank breadth_rank volume_impulse_rank leadership_score"
-)
-
-
 @query("d09_h06_sector_scores", _SECTOR_FLOATS)
 def d09(spark, sf):
     return _sector_scores(spark, sf)

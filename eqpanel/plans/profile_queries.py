@@ -111,7 +111,8 @@ def l23(spark, sf):
 def l25(spark, sf):
     b = _bars(spark, sf)
     y = PR.forward_excess(b, MK.equal_weight_index(b), (5,))
-    return PR.rank_ic(b.select("symbol", "trading_date", "volume").join(y, ["symbol", "trading_date"]), "volume", "excess_5")
+    d = b.select("symbol", "trading_date", "volume").join(y, ["symbol", "trading_date"])
+    return PR.rank_ic(d, "volume", "excess_5", D.symbol_bound(spark, sf))
 
 
 @query("l26_gap_action", "overnight_gap:8")

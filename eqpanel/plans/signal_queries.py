@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eqpanel import params as P
 from eqpanel.functions import rules as R
 from eqpanel.functions.series import rolling_means, series_window
 from eqpanel.functions.checkpoints import checkpointed
+from eqpanel.functions.ordered import with_row_number
 from eqpanel.operators import features as FE
 from eqpanel.operators import market as MK
 from eqpanel.operators import outcomes as O
@@ -159,9 +160,10 @@ def h07(spark, sf):
 def _ranked(spark, sf) -> DataFrame:
     """Every bar in a confirmed trend, best setup first within its session."""
     d = _plan(spark, sf).where("trend_confirmed")
-    best = Window.partitionBy("trading_date").orderBy(F.col("setup_quality").desc_nulls_last(), "symbol")
+    best = [F.col("setup_quality").desc_nulls_last(), F.col("symbol")]
+    d = with_row_number(d, ["trading_date"], best, "priority", D.symbol_bound(spark, sf))
     return d.select(
-        "trading_date", F.row_number().over(best).alias("priority"), "symbol", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector"),
+        "trading_date", "priority", "symbol", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector"),
         F.concat(F.coalesce("sector", F.lit("UNKNOWN")), F.substring("symbol", -1, 1)).alias("correlated_group"),
         "entry_price", "risk_stop", (F.col("adv_shares") * 1000).alias("adv_shares"),
         F.element_at(F.array(*[F.lit(r) for r in P.REGIMES]), 2 + F.dayofmonth("trading_date") % 4).alias("regime"),
