@@ -119,5 +119,6 @@ def sector_scores(features: DataFrame, as_of=None, latest_only: bool = False, sy
     out = out.withColumns(parts)
     score = sum((wt * F.col(f"{k}_rank") for k, wt in P.SECTOR_WEIGHTS.items()), F.lit(0.0))
     out = out.withColumn("leadership_score", 100 * score)
-    best = Window.partitionBy(DAY).orderBy(F.col("leadership_score").desc_nulls_last(), "sector")
+    # scores that agree to nine decimals tie; the sum of weights is not exact
+    best = Window.partitionBy(DAY).orderBy(F.round("leadership_score", 9).desc_nulls_last(), "sector")
     return out.withColumn("sector_rank", F.row_number().over(best))

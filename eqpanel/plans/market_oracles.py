@@ -225,7 +225,7 @@ scl AS (
   SELECT *, 100 * (0.30 * rs20_rank + 0.30 * rs126_rank + 0.25 * breadth_rank + 0.15 * volume_impulse_rank)
          AS leadership_score FROM sck),
 sectors AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY trading_date ORDER BY leadership_score DESC NULLS LAST, sector)
+  SELECT *, row_number() OVER (PARTITION BY trading_date ORDER BY round(leadership_score, 9) DESC NULLS LAST, sector)
          AS sector_rank FROM scl)"""
 
 
