@@ -70,7 +70,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
-    def without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    def without(text, gone):
         def one(t, g):
             if t is None or g is None:
                 return t
