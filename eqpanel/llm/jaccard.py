@@ -4,7 +4,8 @@ Two sets of sizes r and s reach the threshold exactly if they share at least
 T = ceil(t / (1 + t) * (r + s)) shingles. DivideSkip merges the short inverted
 lists and probes the long ones. Here every set orders its shingles from rare to
 frequent by a count table of fixed size over all documents. With |r| - ceil(t
-|r|) + 1 short lists kept per set, any pair that links meets in one of them.
+|r|) + ``OCCUR`` short lists kept per set, any pair that links meets in
+``OCCUR`` of them (or in T, if that is less).
 Spark's sort merges those lists; the long ones are never expanded: a candidate
 is settled by binary search of one set's sorted shingles in the other's.
 
@@ -35,6 +36,8 @@ from eqpanel.llm.components import components
 WORDS = 5
 #: Threshold as a fraction, compared in whole numbers.
 NUM, DEN = 80, 100
+#: Short lists in which a pair must occur before its long ones are probed.
+OCCUR = 4
 #: Size of the count table that orders shingles.
 BUCKETS = 1 << 17
 CACHE_WORDS = 300_000
@@ -67,7 +70,7 @@ class Shingles(dict):
 
 def short(n: int) -> int:
     """Lists a set of n shingles keeps."""
-    return n - -(-NUM * n // DEN) + 1
+    return min(n, n - -(-NUM * n // DEN) + OCCUR)
 
 
 def counted(docs: DataFrame) -> np.ndarray:
@@ -123,9 +126,10 @@ def _merge(lists: DataFrame, every: bool) -> DataFrame:
             else:
                 j = np.arange(head, i)
                 need = -(-NUM * (n[j] + n[i]) // (NUM + DEN))
-                j = j[(comp[j] != comp[i]) & (1 + np.minimum(n[j] - at[j], n[i] - at[i]) - 1 >= need)]
+                # the first OCCUR common shingles of a linked pair all pass this bound
+                j = j[(comp[j] != comp[i]) & (np.minimum(n[j] - at[j], n[i] - at[i]) + OCCUR - 1 >= need)]
             if len(j):
-                yield np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])
+                yield np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i]), np.full(len(j), min(OCCUR, -(-NUM * int(n[i]) // DEN)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -138,9 +142,8 @@ def _merge(lists: DataFrame, every: bool) -> DataFrame:
                     yield from group(*(c[a:b] for c in cols[1:]))
 
         def batch_of(pairs):
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            both, seen = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], 1), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(both[:, k], pa.int64()) for k in range(3)), pa.array(seen, pa.int64())], names=["a", "b", "least", "seen"])
 
         held, size = [], 0
         for batch in batches:
@@ -167,7 +170,8 @@ def _merge(lists: DataFrame, every: bool) -> DataFrame:
             yield batch_of(held)
 
     sorted_ = lists.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "n", "rep", "at", "comp")
-    return sorted_.mapInArrow(merge, "a long, b long").distinct()
+    met = sorted_.mapInArrow(merge, "a long, b long, least long, seen long").groupBy("a", "b", "least").agg(F.sum("seen").alias("seen"))
+    return (met.filter("seen >= least") if every else met).select("a", "b")
 
 
 def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
