@@ -10,9 +10,10 @@ Spark's sort merges those lists; the long ones are never expanded: a candidate
 is settled by binary search of one set's sorted shingles in the other's.
 
 Sets that are equal are one class. Candidates come in two rounds. The first
-compares each member of a list only with its neighbour and the list's first
-member of fitting size, which joins groups of near copies; the second compares
-what is still in different components, so no link between components is lost.
+compares each member of a list only with its neighbour, the list's first member
+of fitting size and a few drawn ones, which joins groups of near copies; the
+second compares all that is still in different components, so no link between
+components is lost.
 
 Null texts and texts without words have the empty set and link with nothing;
 fewer than five words are one shingle. Repeated rows fall in one class.
@@ -25,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqpanel.functions.checkpoints import checkpointed
-from eqpanel.llm.common import SLICE_ROWS, each_row, table
+from eqpanel.llm.common import SLICE_ROWS, table
 from eqpanel.llm.components import components
 
 WORDS = 5
@@ -38,34 +38,90 @@ WORDS = 5
 NUM, DEN = 80, 100
 #: Short lists in which a pair must occur before its long ones are probed.
 OCCUR = 4
+#: Partners drawn from a list for each of its rows in the first round.
+DRAWS = 2
 #: Size of the count table that orders shingles.
 BUCKETS = 1 << 17
-CACHE_WORDS = 300_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of text hashed at once; a longer text is a block of its own.
+BLOCK = 1 << 20
+#: Pairs made at once inside a task.
+PAIRS = 1 << 19
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingles(dict):
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+def _spread(n: int, seed: int) -> np.ndarray:
+    """n pseudo-random 64-bit numbers (the SplitMix64 sequence of ``seed``)."""
+    z = (np.arange(n, dtype=np.uint64) + np.uint64(seed)) * _MIX
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+
+class Shingles:
+    """Sorted distinct 64-bit hashes of texts' shingles.
+
+    A word's hash is a sum over its bytes of a random number of the byte times
+    one of its place, taken for all words of a block of texts at once.
+    """
+
+    def __init__(self):
+        self.byte = _spread(256, 1)
+        self.byte[_SPACE] = 0
+        self.place = _spread(4096, 1000)
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(_LOWER).split()
-        n = len(words)
-        if not n:
-            return np.empty(0, np.uint64)
-        codes = np.fromiter(map(self.__getitem__, words), np.uint64, n)
-        width = min(n, WORDS)
-        h = np.full(n - width + 1, np.uint64(width))
-        for k in range(width):
-            h = (h ^ codes[k : n - width + 1 + k]) * _MIX
-            h ^= h >> np.uint64(29)
-        return np.unique(h)
+        return next(self.each(pa.array([text or ""], pa.large_string())))
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of every text, in order; texts are read in blocks of about ``BLOCK`` bytes."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, at, data = texts.buffers()
+        at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+        row = 0
+        while row < len(texts):
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, "right")) - 1)
+            yield from self._block(data[at[row] : at[stop]], at[row : stop + 1] - at[row])
+            row = stop
+
+    def _block(self, data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        data = _LOWER[data]
+        space = _SPACE[data]
+        fresh = np.empty(len(data) + 1, bool)
+        fresh[0] = True
+        fresh[1:] = space
+        fresh[at] = True
+        begin = np.flatnonzero(fresh[:-1] & ~space)
+        if not len(begin):
+            yield from (np.empty(0, np.uint64) for _ in at[1:])
+            return
+        lengths = np.diff(np.append(begin, len(data)))
+        if lengths.max() > len(self.place):
+            self.place = _spread(int(lengths.max()), 1000)
+        place = np.arange(begin[0], len(data)) - np.repeat(begin, lengths)
+        words = _mixed(np.add.reduceat(self.byte[data[begin[0] :]] * self.place[place], begin - begin[0]))
+        full = _windows(words, WORDS) if len(words) >= WORDS else words[:0]
+        edges = np.searchsorted(begin, at)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b - a >= WORDS:
+                h = np.sort(full[a : b - WORDS + 1])
+                yield h[np.append(True, h[1:] != h[:-1])]
+            else:
+                yield _windows(words[a:b], int(b - a)) if b > a else words[:0]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _windows(words: np.ndarray, width: int) -> np.ndarray:
+    h = np.full(len(words) - width + 1, np.uint64(width))
+    for k in range(width):
+        h = _mixed(h ^ words[k : len(words) - width + 1 + k])
+    return h
 
 
 def short(n: int) -> int:
@@ -79,9 +135,15 @@ def counted(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, shingles = np.zeros(BUCKETS, np.int64), Shingles()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    np.add.at(seen, (shingles.of(text) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            held, size = [], 0
+            for s in shingles.each(batch.column(0)):
+                held.append(s)
+                size += len(s)
+                if size > BUCKETS:
+                    seen += np.bincount(_bucket(np.concatenate(held)), minlength=BUCKETS)
+                    held, size = [], 0
+            if held:
+                seen += np.bincount(_bucket(np.concatenate(held)), minlength=BUCKETS)
         hit = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(seen[hit], pa.int64())], names=["bucket", "n"])
 
@@ -91,130 +153,188 @@ def counted(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def _lists(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, size, the set's digest and its short lists, rarest first."""
 
-    def make():
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                sizes, digests, keys = [], [], []
+                for s in shingles.each(part.column(1)):
+                    sizes.append(len(s))
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(s[np.lexsort((s, counts[_bucket(s)]))[: short(len(s))]].view(np.int64))
+                ends = np.cumsum([0, *map(len, keys)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n", "digest", "keys"])
 
-        def row(doc_id, text):
-            s = shingles.of(text)
-            if not len(s):
-                return ((doc_id, 0, None, []),)
-            order = np.lexsort((s, counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))[: short(len(s))]
-            return ((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[order].view(np.int64).tolist()),)
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, digest binary, keys array<long>")
 
-        return row
 
-    return each_row(docs, ["doc_id", "text"], make, "doc_id long, n long, digest binary, keys array<long>")
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, cut only between its values."""
+    tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if tail is not None:
+            cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        tail = [c[last:] for c in cols]
+        if last:
+            yield [c[:last] for c in cols]
+    if tail is not None:
+        yield tail
 
 
-def _merge(lists: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs (a < b) of the merged lists.
+def _sorted(lists: DataFrame, *columns: str) -> DataFrame:
+    return lists.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "n", "rep", *columns)
+
+
+def _shared(lists: DataFrame) -> DataFrame:
+    """Rows of the lists that hold two sets or more."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _runs(batches):
+            same = cols[0][1:] == cols[0][:-1]
+            both = np.append(same, False) | np.append(False, same)
+            yield pa.RecordBatch.from_arrays([pa.array(c[both], pa.int64()) for c in cols], names=["key", "n", "rep", "at"])
+
+    return _sorted(lists, "at").mapInArrow(keep, "key long, n long, rep long, at long")
+
+
+def _fitting(group: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row: where the rows of its list begin and end whose size lets them link."""
+    value = group << 32 | n
+    low = np.searchsorted(value, group << 32 | -(-NUM * n // DEN))
+    return low, np.searchsorted(value, group << 32 | DEN * n // NUM, "right")
 
-    ``lists`` holds (key, n, rep, at, comp). With ``every`` all pairs of
-    different components that can still reach T; else neighbour and first.
+
+def _near(key: np.ndarray, group: np.ndarray, n: np.ndarray, rep: np.ndarray):
+    """(i, j): each row with its neighbour, the first row of fitting size and ``DRAWS`` rows between.
+
+    The drawn rows depend on the list, so that a set which stands in the same
+    order in many lists meets another partner in each.
     """
+    i = np.arange(len(n))
+    low, _ = _fitting(group, n)
+    wide = np.maximum(i - low, 1).astype(np.uint64)
+    draws = (_mixed(_mixed(key.astype(np.uint64) + np.uint64(k)) ^ rep.astype(np.uint64)) for k in range(DRAWS))
+    for j in (low, i - 1, *(low + (d % wide).astype(np.int64) for d in draws)):
+        use = (j >= low) & (j < i)
+        yield i[use], j[use]
 
-    def group(n, rep, at, comp):
-        head = 0
-        for i in range(1, len(n)):
-            while n[head] * DEN < NUM * n[i]:
-                head += 1
-            if not every:
-                j = np.unique([k for k in (head, i - 1) if head <= k < i])
-            else:
-                j = np.arange(head, i)
-                need = -(-NUM * (n[j] + n[i]) // (NUM + DEN))
-                # the first OCCUR common shingles of a linked pair all pass this bound
-                j = j[(comp[j] != comp[i]) & (np.minimum(n[j] - at[j], n[i] - at[i]) + OCCUR - 1 >= need)]
-            if len(j):
-                yield np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i]), np.full(len(j), min(OCCUR, -(-NUM * int(n[i]) // DEN)))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+def _across(group: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    """(i, j): all rows of a list that are of fitting size and different components.
 
-        def emit(cols):
-            key = cols[0]
-            edges = np.flatnonzero(np.diff(key)) + 1
-            for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
-                if b - a > 1:
-                    yield from group(*(c[a:b] for c in cols[1:]))
+    Rows of a list's most common component are met by the others only.
+    """
+    by = np.lexsort((comp, group))
+    new = np.append(True, (group[by][1:] != group[by][:-1]) | (comp[by][1:] != comp[by][:-1]))
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(by)))
+    order = np.lexsort((counts, group[by][first]))
+    largest = order[np.append(np.diff(group[by][first][order]) > 0, True)]
+    common = np.zeros(group[-1] + 1, comp.dtype)
+    common[group[by][first[largest]]] = comp[by][first[largest]]
+    low, high = _fitting(group, n)
+    other = np.flatnonzero(comp != common[group])
+    ends = np.cumsum(high[other] - low[other])
+    at = 0
+    while at < len(other):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        rows = other[at:stop]
+        span = high[rows] - low[rows]
+        i = np.repeat(rows, span)
+        j = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(low[rows], span)
+        use = (comp[i] != comp[j]) & ((comp[j] == common[group[j]]) | (j < i))
+        yield i[use], j[use]
+        at = stop
 
-        def batch_of(pairs):
-            both, seen = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], 1), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(both[:, k], pa.int64()) for k in range(3)), pa.array(seen, pa.int64())], names=["a", "b", "least", "seen"])
 
+def _merge(lists: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs (a < b) of the merged lists ``(key, n, rep, at, comp)``.
+
+    With ``every`` all pairs of different components that can still reach T;
+    else a few for each row of a list.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if tail is not None:
-                cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            tail = [c[last:] for c in cols]
-            for pair in emit([c[:last] for c in cols]) if last else ():
-                held.append(pair)
-                size += len(pair[0])
-                if size > 200_000:
-                    yield batch_of(held)
-                    held, size = [], 0
-        for pair in emit(tail) if tail is not None else ():
-            held.append(pair)
-            size += len(pair[0])
-            if size > 200_000:
-                yield batch_of(held)
-                held, size = [], 0
-        if held:
-            yield batch_of(held)
-
-    sorted_ = lists.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "n", "rep", "at", "comp")
-    met = sorted_.mapInArrow(merge, "a long, b long, least long, seen long").groupBy("a", "b", "least").agg(F.sum("seen").alias("seen"))
+
+        def batch_of():
+            both, seen = np.unique(np.concatenate(held), axis=0, return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(both[:, k], pa.int64()) for k in range(3)), pa.array(seen, pa.int64())], names=["a", "b", "least", "seen"])
+
+        for key, n, rep, at, comp in _runs(batches):
+            group = np.append(0, np.cumsum(key[1:] != key[:-1]))
+            for i, j in _across(group, n, comp) if every else _near(key, group, n, rep):
+                total = n[i] + n[j]
+                need = -(-NUM * total // (NUM + DEN))
+                # the first OCCUR common shingles of a linked pair all pass this bound
+                can = np.minimum(n[i] - at[i], n[j] - at[j]) + OCCUR - 1 >= need
+                i, j = i[can], j[can]
+                held.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.minimum(OCCUR, need[can])], 1))
+                size += len(i)
+                if size > PAIRS:
+                    yield batch_of()
+                    size = 0
+        if size:
+            yield batch_of()
+
+    met = _sorted(lists, "at", "comp").mapInArrow(merge, "a long, b long, least long, seen long").groupBy("a", "b", "least").agg(F.sum("seen").alias("seen"))
     return (met.filter("seen >= least") if every else met).select("a", "b")
 
 
 def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs that link, by binary search of the smaller set in the larger."""
 
-    def make():
-        shingles, last = Shingles(), [None, None]
-
-        def row(a, b, x, y):
-            if last[0] != a:
-                last[:] = [a, shingles.of(x)]
-            r, s = last[1], shingles.of(y)
-            if len(r) > len(s):
-                r, s = s, r
-            at = np.searchsorted(s, r)
-            both = int((s[np.minimum(at, len(s) - 1)] == r).sum())
-            if DEN * both >= NUM * (len(r) + len(s) - both):
-                yield a, b
-
-        return row
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, last, held = Shingles(), None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                y = part.column(3).cast(pa.large_string())
+                linked = []
+                for k, (b, r) in enumerate(zip(part.column(1).to_pylist(), shingles.each(part.column(2)), strict=True)):
+                    if b != last:
+                        last, held = b, next(shingles.each(y.slice(k, 1)))
+                    r, s = (r, held) if len(r) <= len(held) else (held, r)
+                    both = int((s[np.minimum(np.searchsorted(s, r), len(s) - 1)] == r).sum())
+                    linked.append(DEN * both >= NUM * (len(r) + len(s) - both))
+                yield part.select([0, 1]).filter(pa.array(linked))
 
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     held = checkpointed(texts.join(used, "doc_id", "leftsemi"))
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return each_row(full, ["a", "b", "x", "y"], make, "a long, b long")
+    # the last join leaves equal b together, whose set is made once
+    return full.select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select("doc_id", "text")
     sets = checkpointed(_lists(docs, counted(docs)))
-    reps = checkpointed(sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    # one row per class: a repeated doc_id may stand in more than one class, then each class takes its own row
-    first = sets.join(reps, "digest").filter("doc_id = rep").groupBy("digest", "rep", "n").agg(F.first("keys").alias("keys"))
-    lists = first.select("rep", "n", F.posexplode("keys").alias("at", "key"))
-    shared = checkpointed(lists.withColumn("comp", F.col("rep")))
+    # equal sets have equal lists, so any row's may stand for the class
+    reps = checkpointed(sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    shared = checkpointed(_shared(reps.select("rep", "n", F.posexplode("keys").alias("at", "key")).withColumn("at", F.col("at").cast("long"))))
     texts = docs.filter("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
-    round1 = checkpointed(_settled(checkpointed(_merge(shared, every=False)), texts))
+    round1 = checkpointed(_settled(checkpointed(_merge(shared.withColumn("comp", F.col("rep")), every=False)), texts))
     joined = checkpointed(components(round1))
-    known = shared.drop("comp").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    known = shared.join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     round2 = checkpointed(_settled(checkpointed(_merge(known, every=True)), texts))
     final = components(round1.unionByName(round2)).withColumnRenamed("id", "rep")
-    answer = reps.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
+    answer = reps.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     narrow = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest")
     return narrow.join(answer, "digest", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
