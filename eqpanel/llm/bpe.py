@@ -10,28 +10,28 @@ Null and empty texts give no ids. Every row gives one row, repeated ones too.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 from array import array
-from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from eqpanel.llm.common import each_row, table
+from eqpanel.llm.common import Recent, each_row, table
 
 SHORT_BYTES = 128
-CACHE_WORDS = 300_000
 #: Fixed value: the public byte-level split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = 1 << 62
 
 
-class Codec(dict):
-    """Ids by word; a word that is missing is merged on first use."""
+class Codec(Recent):
+    """Ids (little-endian bytes) by word; a word that is missing is merged on first use."""
 
     def __init__(self, path: str):
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -49,14 +49,9 @@ class Codec(dict):
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.words = regex.compile(SPLIT).findall
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def made(self, word: str) -> bytes:
         data = word.encode()
-        if len(data) > SHORT_BYTES:
-            return tuple(self._merge_long(data))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = tuple(self._merge_short(data))
-        return ids
+        return array("I", (self._merge_short if len(data) <= SHORT_BYTES else self._merge_long)(data)).tobytes()
 
     def _rank(self, a: int, b: int) -> int:
         return self.pairs.get(a << 20 | b, NONE)
@@ -95,23 +90,29 @@ class Codec(dict):
         return [p for p in parts if p >= 0]
 
     def encode(self, text: str) -> array:
-        ids = array("I")
+        out = []
         for piece in self.at_added.split(text) if self.at_added else [text]:
             if piece in self.added:
-                ids.append(self.added[piece])
+                out.append(array("I", [self.added[piece]]).tobytes())
             elif piece:
-                ids.extend(chain.from_iterable(map(self.__getitem__, self.words(piece))))
-        return ids
+                out += [self[w] if len(w) <= SHORT_BYTES else self.made(w) for w in self.words(piece)]
+        return array("I", b"".join(out))
 
     def decode(self, ids: array) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@functools.cache
+def codec_of(path: str) -> Codec:
+    """One per worker process, so that its tasks share what they have met."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row; ``path`` is the vocabulary file."""
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def row(doc_id, text):
             ids = codec.encode(text or "")
@@ -126,7 +127,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """Token count and digests of ids and round trip of every row."""
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def row(doc_id, text):
             ids = codec.encode(text or "")

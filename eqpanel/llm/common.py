@@ -44,5 +44,28 @@ def _arrow(kind: str) -> pa.DataType:
     }[kind]
 
 
+class Recent(dict):
+    """Values by word, made on first use by ``made``; holds the last ``CACHE_WORDS`` to twice as many."""
+
+    CACHE_WORDS = 300_000
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            value = self.made(word)
+        if len(self) >= self.CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+    def made(self, word: str) -> bytes:
+        raise NotImplementedError
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode()

@@ -11,44 +11,55 @@ Null and empty texts hold only the end id. Repeated rows are packed each.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from array import array
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eqpanel.llm.common import each_row, table
+from eqpanel.llm.common import Recent, each_row, table
 
 LIMIT = 4096
 END_ID = 2
-CACHE_WORDS = 300_000
+MARKS = ".,;:!?"
+#: A longer stretch is not remembered.
+LONG_WORD = 64
 
 
-class Words(dict):
-    """Ids by stretch without blank or line end.
+class Words(Recent):
+    """Ids (little-endian bytes) by stretch without blank or line end.
 
     The tokenizer drops white space and no token or normal form reaches across
-    it, so a text's ids are those of its stretches, one after the other.
+    it, so a text's ids are those of its stretches, one after the other. Marks
+    at the end of letters are a stretch of their own, and ASCII letters have the
+    ids of their lower case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def made(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if core and core != word and core[-1].isalpha():
+            return self[core] + self[word[len(core) :]]
+        if word.isascii() and word.isalpha() and not word.islower():
+            return self[word.lower()]
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> array:
-        return array("I", chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))))
+    def encode(self, text: str) -> bytes:
+        return b"".join([self[w] if len(w) <= LONG_WORD else self.made(w) for w in text.replace("\n", " ").split(" ")])
+
+
+@functools.cache
+def words_of(path: str) -> Words:
+    """One per worker process, so that its tasks share what they have met."""
+    return Words(path)
 
 
 def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -68,14 +79,14 @@ def pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
 
     def make():
-        words = Words(path)
+        words = words_of(path)
+        end = array("I", [END_ID]).tobytes()
 
         def row(doc_id, text):
-            ids = words.encode(text or "")
-            ids.append(END_ID)
-            for start, n in cuts(len(ids)):
-                part = ids[start : start + n]
-                yield (doc_id, start, n, zlib.crc32(part.tobytes()), len(ids)) + ((list(part),) if keep_ids else ())
+            ids = words.encode(text or "") + end
+            for start, n in cuts(len(ids) // 4):
+                part = ids[4 * start : 4 * (start + n)]
+                yield (doc_id, start, n, zlib.crc32(part), len(ids) // 4) + ((array("I", part).tolist(),) if keep_ids else ())
 
         return row
 
