@@ -10,6 +10,8 @@ is then spread over all tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,14 @@ def average_rank_pct(value: Column, *keys: str) -> Column:
     return F.when(value.isNotNull(), (F.rank().over(by_value) + upto) / 2 / F.count(value).over(w) * 100)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``; a null key meets a null key."""
+    named = {k: f"__right_{k}" for k in keys}
+    right = right.withColumnsRenamed(named)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in named.items()])
+    return left.join(right, same, how).drop(*named.values())
+
+
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values of each group with the rows before them.
 
@@ -71,8 +81,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        blocks.withColumn("upto", F.sum("n").over(inside))
-        .join(per_block, [*keys, "blk"])
+        join_null_safe(blocks.withColumn("upto", F.sum("n").over(inside)), per_block, [*keys, "blk"])
         .withColumn("before", F.col("earlier") + F.col("upto") - F.col("n"))
         .select(*keys, value, "n", "before", "total")
     )
@@ -96,7 +105,7 @@ def with_rank_pcts(
     for keys, value, out in ranks:
         pct = (F.col("before") + (F.col("n") + 1) / 2) / F.col("total") * 100
         table = value_positions(base, keys, value).select(*keys, value, pct.alias(out))
-        result = result.join(table, [*keys, value], "left")
+        result = join_null_safe(result, table, [*keys, value], "left")
     return result.select(*df.columns, *[out for _, _, out in ranks])
 
 
@@ -113,7 +122,7 @@ def with_row_number(
     sizes = blocks.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*keys, "__blk").orderBy(*order))
-    d = blocks.withColumn("__rn", inside).join(sizes, [*keys, "__blk"])
+    d = join_null_safe(blocks.withColumn("__rn", inside), sizes, [*keys, "__blk"])
     return d.withColumn(out, F.col("__before") + F.col("__rn")).select(*df.columns, out)
 
 

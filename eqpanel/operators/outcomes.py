@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eqpanel import params as P
 from eqpanel.functions.checkpoints import checkpointed
-from eqpanel.functions.ordered import fits_one_task, quantiles
+from eqpanel.functions.ordered import fits_one_task, join_null_safe, quantiles
 from eqpanel.functions.rules import Costs, floor_price, net_return, round_down_to_tick
 from eqpanel.functions.series import series_window
 
@@ -189,7 +189,8 @@ def trade_metrics(trade_rows: DataFrame, by: Sequence[str] = (), group_bound: in
     if not by:
         # two one-row tables
         return trade_rows.agg(*aggs).join(F.broadcast(middle), how="left")
-    return trade_rows.groupBy(*by).agg(*aggs).join(middle, by, "left")
+    # a null slice is a slice, and has its median
+    return join_null_safe(trade_rows.groupBy(*by).agg(*aggs), middle, by, "left")
 
 
 def slice_metrics(trade_rows: DataFrame, dims: Sequence[str], group_bound: int | None = None) -> DataFrame:

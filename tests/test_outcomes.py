@@ -145,3 +145,10 @@ def test_family_report_states(spark):
         spark.createDataFrame([("SHADOW_ONLY", 10, True), ("SHADOW_ONLY", 70, True)], "state string, sessions_observed int, no_capital boolean"), 60
     )
     assert sorted(x.state for x in done.collect()) == ["ELIGIBLE_FOR_ACCEPTANCE_REVIEW", "SHADOW_ONLY"]
+
+
+def test_null_slice_has_its_median(spark):
+    rows = spark.createDataFrame([(None, 0.1), (None, 0.3), ("a", 0.5)], "regime string, net_return double")
+    for bound in (10, None):
+        got = {r.regime: (r.trades, r.median_net_return) for r in O.trade_metrics(rows, ["regime"], group_bound=bound).collect()}
+        assert got == {None: (2, pytest.approx(0.2)), "a": (1, 0.5)}

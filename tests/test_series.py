@@ -143,3 +143,14 @@ def test_value_positions_cover_every_row(skewed):
     p = value_positions(df, ["g"], "x").toPandas()
     assert p.n.sum() == pdf.x.notna().sum()
     assert ((p.before + p.n) <= p.total).all()
+
+
+def test_blocks_keep_null_keys(spark):
+    from eqpanel.functions.ordered import with_rank_pct, with_row_number
+
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 3.0), ("a", None)], "k string, v double")
+    for bound in (10, None):
+        ranks = with_rank_pct(rows, ["k"], "v", "pct", bound).collect()
+        assert {(r.k, r.v): r.pct for r in ranks} == {(None, 1.0): 50, (None, 2.0): 100, ("a", 3.0): 100, ("a", None): None}
+        numbers = with_row_number(rows, ["k"], [F.col("v").desc()], "rn", bound).collect()
+        assert sorted((r.k or "", r.rn) for r in numbers) == [("", 1), ("", 2), ("a", 1), ("a", 2)]
