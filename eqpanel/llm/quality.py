@@ -1,13 +1,16 @@
 """Rule statistics judged by an isolation forest.
 
-The forest is fitted on at most ``SAMPLE`` labelled documents (lowest hashes of
-doc_id): random splits isolate odd rows on short paths. The threshold on the
-path score is calibrated on the same rows: the one that separates the two
-labels best while it rejects at most ``CLEAN_LOSS`` of those labelled good.
-
-Null and empty texts hold no words and fail the base rule. Without labels of
-both kinds only the base rule decides. Repeated rows each give their row; null
-labels or ids are left out of the fit.
+The forest judges what the base rule lets pass, and is fitted on such rows only,
+of at most ``SAMPLE`` labelled documents (lowest hashes of doc_id). Its trees
+hold the good rows, but split the box around the rows of both labels: a
+statistic that never changes among good rows still gets splits, and what stands
+where no good row does ends on a short path. The threshold on the path score is
+calibrated on the same rows: the one that separates the two labels best while it
+rejects at most ``CLEAN_LOSS`` of those labelled good.
+
+Null and empty texts hold no words and fail the base rule. Only the base rule
+decides unless labelled rows of both kinds pass it. Repeated rows each give their
+row; null labels or ids are left out of the fit.
 """
 
 from __future__ import annotations
@@ -65,9 +68,10 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 
 
 def features(s: tuple[int, ...]) -> np.ndarray:
+    """Logarithms, so that a few extreme rows do not take all splits of a heavy-tailed share."""
     n, chars, symbols, dup, repeat, lines, caps = s
-    n = max(n, 1)
-    return np.array([math.log1p(n), chars / n, symbols / n, dup / max(lines, 1), repeat / n, caps / max(chars, 1)])
+    n, chars = max(n, 1), max(chars, 1)
+    return np.log1p([n, chars / n, 1000 * symbols / n, 100 * dup / max(lines, 1), 100 * repeat / n, 1000 * caps / chars])
 
 
 def _harmonic(n: float) -> float:
@@ -75,9 +79,12 @@ def _harmonic(n: float) -> float:
 
 
 class Forest:
-    """Complete binary trees as arrays; a leaf's split is infinite and holds its path length."""
+    """Complete binary trees as arrays; a leaf's split is infinite and holds its path length.
 
-    def __init__(self, rows: np.ndarray, seed: int = 7):
+    Splits are drawn from the box ``low`` to ``high``, halved on the way down, not from the range of ``rows``.
+    """
+
+    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
         nodes = 2 ** (DEPTH + 1)
         self.column = np.zeros((TREES, nodes), np.int64)
@@ -85,11 +92,11 @@ class Forest:
         self.path = np.zeros((TREES, nodes))
         size = min(SUBSAMPLE, len(rows))
         for t in range(TREES):
-            self._grow(t, 1, 0, rows[rng.choice(len(rows), size, replace=False)], rng)
+            self._grow(t, 1, 0, rows[rng.choice(len(rows), size, replace=False)], low, high, rng)
         self.norm = max(_harmonic(size), 1e-9)
 
-    def _grow(self, t: int, node: int, depth: int, rows: np.ndarray, rng: np.random.Generator) -> None:
-        open_ = np.flatnonzero(np.ptp(rows, axis=0) > 0) if len(rows) > 1 else ()
+    def _grow(self, t: int, node: int, depth: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> None:
+        open_ = np.flatnonzero(high > low) if len(rows) > 1 else ()
         if depth == DEPTH or not len(open_):
             at = node
             for d in range(depth, DEPTH + 1):
@@ -98,9 +105,10 @@ class Forest:
             return
         c = rng.choice(open_)
         self.column[t, node] = c
-        self.split[t, node] = s = rng.uniform(rows[:, c].min(), rows[:, c].max())
-        self._grow(t, 2 * node, depth + 1, rows[rows[:, c] <= s], rng)
-        self._grow(t, 2 * node + 1, depth + 1, rows[rows[:, c] > s], rng)
+        self.split[t, node] = s = rng.uniform(low[c], high[c])
+        at = np.arange(len(low)) == c
+        self._grow(t, 2 * node, depth + 1, rows[rows[:, c] <= s], low, np.where(at, s, high), rng)
+        self._grow(t, 2 * node + 1, depth + 1, rows[rows[:, c] > s], np.where(at, s, low), high, rng)
 
     def score(self, row: np.ndarray) -> float:
         trees, at = np.arange(TREES), np.ones(TREES, np.int64)
@@ -110,16 +118,21 @@ class Forest:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Forest, float] | None:
-    """Forest and threshold, or None without labelled rows of both kinds."""
+    """Forest and threshold, or None unless labelled rows of both kinds pass the base rule."""
     picked = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     measured = each_row(known, ["doc_id", "quality", "text"], lambda: lambda d, q, t: ((d, q) + stats(t),), "doc_id long, quality long, " + STATS)
     rows = measured.groupBy("doc_id").agg(F.min(F.struct(*[c for c in measured.columns if c != "doc_id"])).alias("s")).orderBy("doc_id").collect()
-    good = np.array([r.s[0] == 1 for r in rows], bool)
+    passing = [tuple(r.s) for r in rows if not base_failed(r.s.n_words, r.s.n_repeat_words)]
+    return calibrated([s[1:] for s in passing], np.array([s[0] == 1 for s in passing], bool))
+
+
+def calibrated(rows: list[tuple[int, ...]], good: np.ndarray) -> tuple[Forest, float] | None:
+    """Forest and threshold from the statistics of labelled rows that pass the base rule."""
     if not good.any() or good.all():
         return None
-    points = np.array([features(tuple(r.s)[1:]) for r in rows])
-    forest = Forest(points[good])
+    points = np.array([features(s) for s in rows])
+    forest = Forest(points[good], points.min(axis=0), points.max(axis=0))
     scores = np.array([forest.score(p) for p in points])
     floor = float(np.quantile(scores[good], 1 - CLEAN_LOSS, method="higher"))
     best = max((float((scores[~good] > c).mean() - (scores[good] > c).mean()), c) for c in {floor, *scores[scores >= floor].tolist()})

@@ -136,6 +136,22 @@ def test_quality_statistics(docs, spark, sf):
     assert sum(r.kept for r in clean) >= 0.98 * len(clean)
 
 
+def test_quality_splits_where_good_rows_are_alike(spark):
+    rng = np.random.default_rng(5)
+    words = ["w" + "abcdefgh"[i % 8] * (i % 6 + 1) + str(i) for i in range(400)]
+    plain = [" ".join(rng.choice(words, int(rng.integers(60, 400)))) for _ in range(600)]
+    junk = [" ".join(w + "#$" for w in rng.choice(words, int(rng.integers(60, 400)))) for _ in range(60)]
+    # short rows that fail the base rule, but are labelled good, must not lift the threshold
+    short = [f"{'#' * i} odd" for i in range(40)]
+    rows = list(enumerate(plain + junk + short))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(not 600 <= i < 660), 0) for i, _ in rows if i % 2 or i >= 660], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality.judge(df, labels).collect()}
+    held_out = range(0, 660, 2)
+    assert sum(not kept[i] for i in held_out if i >= 600) >= 28
+    assert sum(kept[i] for i in held_out if i < 600) >= 0.98 * 300
+
+
 def sets_of(rows):
     out = {}
     for i, (_, x) in enumerate(rows):
