@@ -1,8 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut after ``.``, ``!``, ``?`` and line ends, and within a sentence
-after every ``LONG`` words. Every run of ``RUN`` sentences with at least
-``LEAST`` words is hashed (case and spacing aside). Of all places of a hash in
+after every ``LONG`` words. From every sentence a run goes on until it has
+``RUN`` sentences and ``LEAST`` words, and likewise back from every sentence; both
+are hashed (case and spacing aside). Of all places of a hash in
 the corpus the first (by doc_id, then place) stays; sentences that any other
 place covers are removed.
 
@@ -41,15 +42,25 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(text: str, run: int = RUN, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of every run long enough."""
-    filled = [(i, s.lower().split()) for i, s in enumerate(sentences(text)) if s.strip()]
+    """(hash, first sentence, last sentence) of the shortest long enough run from, and up to, every sentence."""
+    places, starts, words = [], [0], []
+    for i, s in enumerate(sentences(text)):
+        if ws := s.lower().split():
+            places.append(i)
+            words += ws
+            starts.append(len(words))
+    found, k = set(), 0
+    for end in range(run, len(places) + 1):
+        # the latest start is the shortest run up to here; starts passed over have their shortest run here too
+        while k + run <= end and starts[end] - starts[k] >= least:
+            found.add((k, end))
+            k += 1
+        if k and starts[end] - starts[k - 1] >= least:
+            found.add((k - 1, end))
     out = []
-    for k in range(len(filled) - run + 1):
-        part = filled[k : k + run]
-        words = [w for _, ws in part for w in ws]
-        if len(words) >= least:
-            h = hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest()
-            out.append((int.from_bytes(h, "big", signed=True), part[0][0], part[-1][0]))
+    for k, end in sorted(found):
+        h = hashlib.blake2b(" ".join(words[starts[k] : starts[end]]).encode(), digest_size=8).digest()
+        out.append((int.from_bytes(h, "big", signed=True), places[k], places[end - 1]))
     return out
 
 

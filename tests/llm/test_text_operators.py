@@ -218,6 +218,16 @@ def test_spans_equal_plain_loop(docs, spark):
     assert sum(" ".join(passage.split()[10:60]) in t for t in kept) == 0 and all("Start number" in t for t in kept)
 
 
+def test_spans_of_short_sentences(spark):
+    for size in range(1, 8):
+        words = [f"verse{size}x{i}" for i in range(70)]
+        passage = "".join(" ".join(words[i : i + size]) + ("!!\n" if i % 2 else ". ") for i in range(0, 70, size))
+        rows = [(d, f"Only {d} holds this.\n{passage}\nAnd {d} ends so.") for d in range(3)]
+        got = {r.doc_id: r.text for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[0] == rows[0][1]
+        assert all("verse" not in got[d] and f"Only {d} holds this." in got[d] and f"And {d} ends so." in got[d] for d in (1, 2))
+
+
 def test_sentences_join_to_the_text(docs):
     for _, x in docs[0]:
         assert "".join(spans.sentences(x or "")) == (x or "")
