@@ -1,11 +1,16 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut after ``.``, ``!``, ``?`` and line ends, and within a sentence
-after every ``LONG`` words. From every sentence a run goes on until it has
-``RUN`` sentences and ``LEAST`` words, and likewise back from every sentence; both
-are hashed (case and spacing aside). Of all places of a hash in
-the corpus the first (by doc_id, then place) stays; sentences that any other
-place covers are removed.
+wherever a word's hash is the smallest of some ``NEAR`` words in a row (the last
+of equals). Such a cut depends on fewer than ``NEAR`` words on either side and
+comes every ``NEAR`` words at least, so a passage is cut alike in all documents,
+wherever it begins. From every sentence a run goes on until it has ``RUN``
+sentences and ``LEAST`` words, and likewise back from every sentence; both are
+hashed (case and spacing aside). Of all places of a hash in the corpus the first
+(by doc_id, then place) stays; sentences that any other place covers are removed.
+
+A passage of 4 * NEAR + LEAST - 3 = 48 words or more holds a run wherever it stands.
+Its words before the first common cut and after the last one stay.
 
 Null and empty texts stay as they are. Rows alike in doc_id and text are one
 document and keep or lose the same sentences.
@@ -15,30 +20,42 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqpanel.functions.checkpoints import checkpointed
 from eqpanel.llm.common import each_row, table
 
-RUN, LEAST, LONG = 2, 15, 20
+RUN, LEAST, NEAR = 2, 15, 9
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z")
 _WORD = re.compile(r"\S+\s*")
 
 
 def sentences(text: str) -> list[str]:
     """Pieces that join to ``text``."""
-    out = []
+    words, closing, sentence = [], [], []
     for m in _SENTENCE.finditer(text):
-        words = _WORD.findall(m[0]) if len(m[0]) > 2 * LONG else ()
-        if len(words) <= LONG:
-            out.append(m[0])
-            continue
-        lead = m[0][: len(m[0]) - sum(map(len, words))]
-        chunks = ["".join(words[i : i + LONG]) for i in range(0, len(words), LONG)]
-        out += [lead + chunks[0], *chunks[1:]]
-    return out
+        own = _WORD.findall(m[0])
+        if own:
+            own[0] = m[0][: len(m[0]) - sum(map(len, own))] + own[0]
+        words += own or [m[0]]
+        sentence += [len(closing)] * max(len(own), 1)
+        closing.append(len(words) - 1)
+    if len(words) >= NEAR:
+        closing = sorted({*closing, *_smallest(words, sentence)})
+    return ["".join(words[a + 1 : b + 1]) for a, b in zip([-1, *closing], closing)]
+
+
+def _smallest(words: list[str], sentence: list[int]) -> list[int]:
+    """Places of the last smallest hash of each ``NEAR`` words in a row of one sentence."""
+    hashes = np.fromiter((zlib.crc32(w.strip().lower().encode()) for w in words), np.int64, len(words))
+    of = np.array(sentence)
+    whole = np.flatnonzero(of[: len(of) - NEAR + 1] == of[NEAR - 1 :])
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, NEAR)[whole]
+    return (whole + NEAR - 1 - windows[:, ::-1].argmin(axis=1)).tolist()
 
 
 def runs(text: str, run: int = RUN, least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -70,7 +87,7 @@ def covered(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, text_hash long, h long, first int, last int"
     rows = checkpointed(each_row(keyed, ["doc_id", "text_hash", "text"], lambda: lambda d, t, x: [(d, t, *r) for r in runs(x or "")], schema))
     place = F.struct("doc_id", "text_hash", "first")
-    repeated = rows.groupBy("h").agg(F.min(place).alias("kept"), F.max(place).alias("other")).filter("kept <> other").select("h", "kept")
+    repeated = rows.groupBy("h").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("h", "kept")
     later = rows.join(repeated, "h").filter(F.struct("doc_id", "text_hash", "first") != F.col("kept"))
     return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("gone"))
 

@@ -228,6 +228,26 @@ def test_spans_of_short_sentences(spark):
         assert all("verse" not in got[d] and f"Only {d} holds this." in got[d] and f"And {d} ends so." in got[d] for d in (1, 2))
 
 
+def test_spans_of_passages_inside_sentences(spark):
+    rng = np.random.default_rng(11)
+    fresh = iter(f"{'abcdefgh'[i % 8]}{i}" for i in range(1_000_000))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    rows, passages = [], []
+    for size in (51, 52, 60, 120, 199) * 6:
+        passages.append(some(size))
+        for _ in range(3):
+            # one long sentence without marks, or a host that begins and ends in short ones
+            before, after = some(int(rng.integers(1, 60))), some(int(rng.integers(1, 60)))
+            mark = ". " if len(passages) % 2 else " "
+            rows.append((len(rows), mark.join([" ".join(before[:-1]), " ".join([before[-1], *passages[-1], after[0]]), " ".join(after[1:])])))
+    got = {r.doc_id: (r.text or "").split() for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (d, text) in enumerate(rows):
+        passage = set(passages[i // 3])
+        left = [w for w in got[d] if w in passage]
+        assert [w for w in got[d] if w not in passage] == [w for w in text.split() if w not in passage]
+        assert len(left) == len(passage) if i % 3 == 0 else len(left) <= 4 * spans.NEAR
+
+
 def test_sentences_join_to_the_text(docs):
     for _, x in docs[0]:
         assert "".join(spans.sentences(x or "")) == (x or "")
