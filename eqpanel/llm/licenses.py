@@ -39,6 +39,8 @@ class Automaton:
         self.steps: list[list[tuple[bytes | None, int]]] = [[]]
         self.free: list[set[int]] = [set()]
         opened = []
+        #: Words outside optional regions: each stands in whatever is accepted.
+        self.needed: set[bytes] = set()
         for m in _MARK.finditer(template):
             here = len(self.steps) - 1
             if m[0] == "[[":
@@ -52,8 +54,12 @@ class Automaton:
                         self.free[len(self.steps) - 2].add(len(self.steps) - 1)
             else:
                 self._add(m[0].encode())
+                if not opened:
+                    self.needed.add(m[0].encode())
         self.last = len(self.steps) - 1
         self.starts = {w for s in self._closed({0}) for w, _ in self.steps[s]}
+        #: A template may begin with a word of any kind; then every place can be its first.
+        self.anywhere = None in self.starts
 
     def _add(self, word: bytes | None) -> None:
         self.steps[-1].append((word, len(self.steps)))
@@ -84,7 +90,7 @@ class Automaton:
 def scanner():
     phrases = [(p.encode().split(), label, re.compile(rb"(?<![^ ])" + p.encode().replace(b" ", rb" +") + rb"(?![^ ])")) for p, label in PHRASES.items()]
     machines = [(label, Automaton(t)) for label, t in TEMPLATES.items()]
-    anchors = {label: max((w for steps in a.steps for w, _ in steps if w), key=len) for label, a in machines}
+    anchors = {label: max(sorted(a.needed), key=len, default=b"") for label, a in machines}
 
     def row(doc_id, text):
         flat = utf8(text).translate(_TABLE)
@@ -96,8 +102,8 @@ def scanner():
                 base.add(label)
         found = set()
         for label, a in machines:
-            if anchors[label] in flat and any(w in flat for w in a.starts):
-                if any(w in a.starts and a.accepts(words, i) for i, w in enumerate(words)):
+            if anchors[label] in flat and (a.anywhere or any(w in flat for w in a.starts)):
+                if any((a.anywhere or w in a.starts) and a.accepts(words, i) for i, w in enumerate(words)):
                     found.add(label)
         score = 1.0 if found else 0.5 if base else 0.0
         yield doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), score

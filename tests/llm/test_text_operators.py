@@ -90,6 +90,23 @@ def test_license_automata():
     assert licenses.Automaton("copyright {{0,2}} all").accepts(b"copyright a b c all".split(), 0) == 0
 
 
+def test_license_prefilter_loses_nothing(monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATES", licenses.TEMPLATES | {"any": "{{1,2}} grants [[extraordinarily]] use", "all": "[[optional]] [[words]]"})
+    texts = ["licensed under the MIT License", "Distributed under the MIT License.", "nothing of the kind", "", "Acme grants use", "optional"]
+    for template in licenses.TEMPLATES.values():
+        whole = re.sub(r"\{\{\d+,(\d+)\}\}", lambda m: "some " * int(m[1]), template)
+        parts = re.findall(r"\[\[.*?\]\]", whole)
+        texts += [f"it is {x.replace('[[', '').replace(']]', '')} here" for x in (whole, *(whole.replace(p, "") for p in parts), re.sub(r"\[\[.*?\]\]", "", whole))]
+    scan = licenses.scanner()
+    machines = {label: licenses.Automaton(t) for label, t in licenses.TEMPLATES.items()}
+    for text in texts:
+        words = text.lower().replace(".", " ").encode().split()
+        found = {label for label, a in machines.items() if any(a.accepts(words, i) for i in range(len(words)))}
+        (row,) = scan(0, text)
+        assert found <= set(row[6].split(",")) and (row[7] == 1.0) == bool(found), text
+    assert "mit" in next(scan(0, texts[0]))[6].split(",")
+
+
 def test_secret_base_and_entropy(docs):
     rows, df = docs
     assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
