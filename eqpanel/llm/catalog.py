@@ -14,7 +14,8 @@ from eqpanel.llm.secrets import op4_secrets
 from eqpanel.llm.spans import op2_spans
 from eqpanel.llm.urls import op8_urls
 from eqpanel.llm.vectors import op9_vectors
+from eqpanel.llm.whitening import op11_whitening
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_spans, op3_licenses, op4_secrets, op5_packing, op6_quality, op7_jaccard, op8_urls, op9_vectors, op10_pii, op13_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_spans, op3_licenses, op4_secrets, op5_packing, op6_quality, op7_jaccard, op8_urls, op9_vectors, op10_pii, op11_whitening, op13_decontamination)}
 #: The operators' own methods (trees, automata, entropy, token merges) have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {"op13_decontamination": DECONTAMINATION_SQL}
