@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from eqpanel.llm.alignment import op12_alignment
 from eqpanel.llm.bpe import op1_bpe
 from eqpanel.llm.decontamination import ORACLE_SQL as DECONTAMINATION_SQL
 from eqpanel.llm.decontamination import op13_decontamination
@@ -16,6 +17,6 @@ from eqpanel.llm.urls import op8_urls
 from eqpanel.llm.vectors import op9_vectors
 from eqpanel.llm.whitening import op11_whitening
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_spans, op3_licenses, op4_secrets, op5_packing, op6_quality, op7_jaccard, op8_urls, op9_vectors, op10_pii, op11_whitening, op13_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_spans, op3_licenses, op4_secrets, op5_packing, op6_quality, op7_jaccard, op8_urls, op9_vectors, op10_pii, op11_whitening, op12_alignment, op13_decontamination)}
 #: The operators' own methods (trees, automata, entropy, token merges) have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {"op13_decontamination": DECONTAMINATION_SQL}
