@@ -97,7 +97,9 @@ def phrases(index: DataFrame, tests: DataFrame, size: int = WINDOW) -> DataFrame
     near = F.explode(F.sequence(F.col("at") - (size - 1), F.col("at") + (size - 1)))
     spots = lined.select("item", *DOC, "shift", near.alias("p")).distinct()
     spots = spots.join(words.withColumnRenamed("place", "p"), ["item", "p"]).withColumn("place", F.col("shift") + F.col("p"))
-    rest = index.join(lined.select(*DOC).distinct(), DOC, "left_semi").join(words.select("word").distinct(), "word", "left_semi")
+    # written on its own, so that the planner sees how few documents are left
+    left = checkpointed(lined.select(*DOC).distinct())
+    rest = index.join(left, DOC, "left_semi").join(words.select("word").distinct(), "word", "left_semi")
     hits = spots.join(rest, ["word", *DOC, "place"], "left_semi").select("item", *DOC, "shift", "place")
     run = F.col("place") - F.row_number().over(Window.partitionBy("item", *DOC, "shift").orderBy("place"))
     runs = hits.withColumn("run", run).groupBy("item", *DOC, "shift", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
