@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eqpanel.functions.ordered import with_rank_pcts
-from eqpanel.functions.series import ewm, rolling_means, series_window
+from eqpanel.functions.checkpoints import checkpointed
+from eqpanel.functions.normal import normal_quantile
+from eqpanel.functions.ordered import join_null_safe, quantiles, with_rank_pcts
+from eqpanel.functions.series import ewm, over, rolling_means, series_window
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
@@ -96,6 +98,25 @@ def trend_transitions(bars: DataFrame, least: int = 200) -> DataFrame:
     return counts.select("symbol", "state", "n", *[e.alias(k) for k, e in p.items()], (1 / (1 - stay)).alias("expected_duration"))
 
 
+def h_step_transitions(one_step: DataFrame, steps: int) -> DataFrame:
+    """Trend-state probabilities ``steps`` sessions ahead: rows of the matrix power per symbol.
+
+    ``one_step`` comes from ``trend_transitions``. A state a symbol was never in has
+    only its Laplace counts, so its row is uniform.
+    """
+    states = ("UP", "DOWN", "SIDE")
+    row = F.map_from_entries(F.collect_list(F.struct("state", F.array("p_up", "p_down", "p_side"))))  # three states
+    flat = F.array(*[F.lit(1 / 3)] * 3)
+    d = one_step.groupBy("symbol").agg(row.alias("__m"))
+    d = d.withColumn("__p", F.array(*[F.coalesce(F.try_element_at("__m", F.lit(s)), flat) for s in states]))
+    product = "transform(m, r -> transform(sequence(0, 2), j -> r[0] * __p[0][j] + r[1] * __p[1][j] + r[2] * __p[2][j]))"
+    d = d.withColumn("__h", F.expr(f"aggregate(sequence(1, {steps}), __p, (m, k) -> if(k = 1, m, {product}))"))
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, states)).alias("state"), F.col("__h").alias("p")))
+    d = d.select("symbol", each.alias("__r"))
+    p = F.col("__r.p")
+    return d.select("symbol", F.col("__r.state").alias("state"), F.lit(steps).alias("steps"), p[0].alias("p_up"), p[1].alias("p_down"), p[2].alias("p_side"))
+
+
 def ewma_volatility(bars: DataFrame, decay: float = 0.94, sessions_per_year: int = 250) -> DataFrame:
     d = with_returns(bars).withColumn("r2", F.col("r") * F.col("r"))
     d = ewm(d, [("r2", 1 - decay, 1, "y", 1)])
@@ -147,6 +168,50 @@ def rank_ic(factors: DataFrame, factor: str, outcome: str, symbols_bound: int |
     return d.groupBy(*day).agg(F.count(F.lit(1)).alias("symbols"), F.corr("__x", "__y").alias("rank_ic"))
 
 
+def rolling_ic(daily: DataFrame, by, size: int = 60, least: int = 20, level: float = 0.95) -> DataFrame:
+    """Mean rank correlation of the last ``size`` sessions with its interval and t-ratio.
+
+    ``daily``: by, trading_date, rank_ic; one row per factor and session, so a
+    factor's rows are bounded by the calendar.
+    """
+    f = over(list(by), "trading_date", f"ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW")
+    d = daily.withColumns(
+        {"sessions": F.expr(f"count(rank_ic) {f}"), "mean_ic": F.expr(f"avg(rank_ic) {f}"), "__s": F.expr(f"stddev_samp(rank_ic) {f}")}
+    )
+    half = normal_quantile(f"{1 - (1 - level) / 2!r}D") * F.expr("__s / sqrt(sessions)")
+    enough = lambda c: F.when(F.col("sessions") >= least, c)
+    return d.select(
+        *by, "trading_date", "sessions", enough(F.col("mean_ic")).alias("mean_ic"), enough(F.col("mean_ic") - half).alias("ic_low"),
+        enough(F.col("mean_ic") + half).alias("ic_high"), enough(F.expr("mean_ic / nullif(__s / sqrt(sessions), 0D)")).alias("t_ratio"),
+    )
+
+
+def drift(rows: DataFrame, by, value: str, period: str, bins: int = 10, flag_at: float = 0.2) -> DataFrame:
+    """Population stability index of ``value`` in each period against the group's first one.
+
+    Bins are the first period's quantiles (equal ones merge); shares are counted
+    with half a row added, so that an empty bin does not make the index infinite.
+    ``by`` and ``period`` are kept; the first period itself has 0.
+    """
+    by = list(by)
+    d = checkpointed(rows.where(F.col(value).isNotNull()).select(*by, F.col(period).alias("period"), F.col(value).cast("double").alias("__x")))
+    first = d.groupBy(*by).agg(F.min("period").alias("__first")) if by else d.agg(F.min("period").alias("__first"))
+    attach = lambda left, right: join_null_safe(left, right, by) if by else left.crossJoin(F.broadcast(right))  # noqa: E731  one row
+    base = attach(d, first).where("period = __first").drop("__first")
+    cuts = quantiles(base, by, "__x", {f"__q{i}": i / bins for i in range(1, bins)})
+    cuts = cuts.select(*by, F.array(*[f"__q{i}" for i in range(1, bins)]).alias("__q"))
+    at = F.size(F.filter("__q", lambda q: q < F.col("__x")))
+    counts = attach(d, cuts).groupBy(*by, "period", "__q", at.alias("__b")).agg(F.count(F.lit(1)).alias("n"))
+    # a period has at most ``bins`` counts
+    shares = counts.groupBy(*by, "period", "__q").agg(F.map_from_entries(F.collect_list(F.struct("__b", "n"))).alias("__m"), F.sum("n").alias("rows"))
+    every = F.sequence(F.lit(0), F.lit(bins - 1))
+    shares = shares.withColumn("__p", F.transform(every, lambda b: (F.coalesce(F.try_element_at("__m", b), F.lit(0)) + 0.5) / (F.col("rows") + 0.5 * bins)))
+    start = attach(shares, first).where("period = __first").select(*by, F.col("__p").alias("__p0"))
+    terms = F.zip_with("__p", "__p0", lambda p, q: (p - q) * F.ln(p / q))
+    out = attach(shares, start).withColumn("drift", F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+    return out.select(*by, "period", "rows", "drift", (F.col("drift") >= flag_at).alias("drifted"))
+
+
 def hit_rates(trades: DataFrame, by, least: int = 30) -> DataFrame:
     """Win share per bucket; buckets with too few trades publish nothing."""
     r = F.col("net_return")

@@ -101,6 +101,20 @@ def bars(spark: SparkSession, sf_dir: str, with_sector: bool = True) -> DataFram
     )
 
 
+def nation_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily close per supplier nation: a panel of few symbols with long histories."""
+    daily = (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(
+            F.concat(F.lit("N"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("symbol"), F.to_date("l_shipdate").alias("trading_date")
+        )
+        .agg((F.sum(cents(F.col("l_discount")) - 5)).alias("dm"))
+    )
+    run = series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return daily.select("symbol", "trading_date", F.greatest(20000 + 100 * F.sum("dm").over(run), F.lit(1000).cast("long")).alias("close"))
+
+
 def sessions(panel: DataFrame) -> DataFrame:
     """Session calendar of a panel with consecutive numbers from 1."""
     days = panel.select("trading_date").distinct()
