@@ -28,6 +28,7 @@ import itertools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from eqpanel.functions.checkpoints import checkpointed
 from eqpanel.llm.common import table
 
-#: Chunks a worker remembers (up to twice as many, about half a kilobyte each).
-CACHE_CHUNKS = 150_000
+#: Chunks a worker remembers (up to twice as many, about 400 bytes each).
+CACHE_CHUNKS = 300_000
 #: Texts handled at once: at most so many rows, and no more once so many characters are reached.
 SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
 #: Pair key: A id above, B id below this many bits.
@@ -83,44 +84,77 @@ class Aligner:
             by_bytes.setdefault(p, i)
         self.same_as = [by_bytes.get(p, -1) for p in self.bytes_a]
         self.space = self.b.piece_to_id("▁")
-        inner = any(re.search("[^▁]▁", p) for p in pieces)
-        self.chunks = (lambda text: [text]) if inner else re.compile(r"(?<=\S)(?= )").split
+        self.same_text = [f"{i}|{j}".encode() for i, j in enumerate(self.same_as)]
+        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.chunks = re.compile(r"(?<=\S)(?= )").split if self.cuts else lambda text: [text]
         self.recent: dict[str, Record | None] = {}
         self.older: dict[str, Record | None] = {}
 
-    def _record(self, chunk: str, a: list[int], b: list[int]) -> Record | None:
-        """Alignment of one chunk; None where its bytes do not come back."""
-        data = chunk.encode()
-        of_a, of_b, same_as = self.bytes_a, self.bytes_b, self.same_as
-        if b"".join(map(of_a.__getitem__, a)) != data or b"".join(map(of_b.__getitem__, b)) != data:
-            return None
-        if len(a) == len(b) and all(same_as[x] == y for x, y in zip(a, b, strict=True)):
-            return Record(len(a), len(b), len(a), len(a), ";".join([f"{x}|{y}" for x, y in zip(a, b, strict=True)]).encode(), np.array(a, np.int32).tobytes(), b"")
+    def _record(self, a: list[int], b: list[int]) -> Record:
+        """Alignment of one chunk from ids that give back the same bytes."""
+        same_as, same_text = self.same_as, self.same_text
+        if [same_as[x] for x in a] == b:
+            return Record(len(a), len(b), len(a), len(a), b";".join([same_text[x] for x in a]), array("i", a).tobytes(), b"")
+        size_a, size_b = self.size_a, self.size_b
         groups, same, pairs = [], [], []
         i = j = at_a = at_b = i0 = j0 = links = 0
-        while i < len(a) or j < len(b):
+        n = len(a)
+        while i < n:
             if at_a <= at_b:
-                at_a += len(of_a[a[i]])
+                at_a += size_a[a[i]]
                 i += 1
             else:
-                at_b += len(of_b[b[j]])
+                at_b += size_b[b[j]]
+                j += 1
+            while at_b < at_a:
+                at_b += size_b[b[j]]
                 j += 1
             if at_a == at_b:
-                links += (i - i0) * (j - j0)
-                for x, y in itertools.product(a[i0:i], b[j0:j]):
-                    if same_as[x] == y:
-                        same.append(x)
-                    else:
-                        pairs.append(x << BITS | y)
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
+                x, y = a[i0], b[j0]
+                if i - i0 == 1 == j - j0 and same_as[x] == y:
+                    links += 1
+                    same.append(x)
+                    groups.append(same_text[x])
+                else:
+                    part_a, part_b = a[i0:i], b[j0:j]
+                    links += len(part_a) * len(part_b)
+                    for x in part_a:
+                        for y in part_b:
+                            if same_as[x] == y:
+                                same.append(x)
+                            else:
+                                pairs.append(x << BITS | y)
+                    groups.append(f"{','.join(map(str, part_a))}|{','.join(map(str, part_b))}".encode())
                 i0, j0 = i, j
-        return Record(len(a), len(b), len(groups), links, ";".join(groups).encode(), np.array(same, np.int32).tobytes(), np.array(pairs, np.int64).tobytes())
+        return Record(n, len(b), len(groups), links, b";".join(groups), array("i", same).tobytes(), array("q", pairs).tobytes())
 
-    def _encoded(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def _encoded(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of a text that starts with a space, from both; None where its bytes do not come back."""
+        a = self.a.encode(text, add_special_tokens=False).ids
         # B puts its space before each text but an empty one
-        pieces = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for chunk, a, b in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), pieces, strict=True):
-            yield a.ids, [self.space] if chunk == " " else b
+        b = self.b.encode(text[1:]) if text != " " else [self.space]
+        data = text.encode()
+        back = (b"".join(map(of.__getitem__, ids)) for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        return (a, b) if all(x == data for x in back) else None
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember new chunks; in one text they are cut like each by itself."""
+        ids = self._encoded("".join(chunks))
+        if ids is None and len(chunks) > 1:
+            half = len(chunks) // 2
+            self._learn(chunks[:half])
+            self._learn(chunks[half:])
+            return
+        if ids is None:
+            self.recent[chunks[0]] = None
+            return
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        to_a, to_b = ((np.searchsorted(np.cumsum([size[x] for x in side]), ends) + 1).tolist() for size, side in zip((self.size_a, self.size_b), ids, strict=True))
+        i = j = 0
+        for c, k, m in zip(chunks, to_a, to_b, strict=True):
+            self.recent[c] = self._record(ids[0][i:k], ids[1][j:m])
+            i, j = k, m
 
     def of(self, texts: list[str | None]) -> Iterator[list[Record]]:
         """Records of each text; none for a text without tokens."""
@@ -134,14 +168,16 @@ class Aligner:
                 recent[c] = older[c]
             else:
                 new.append(c)
-        for c, (a, b) in zip(new, self._encoded(new), strict=True):
-            recent[c] = self._record(c, a, b)
+        # the last chunk of a text may end in white space, which changes with what follows
+        joined = [c for c in new if self.cuts and not c[-1].isspace()]
+        for group in [joined, *([c] for c in new if not self.cuts or c[-1].isspace())]:
+            if group:
+                self._learn(group)
         for chunks in cut:
             records = [recent[c] for c in chunks]
             if None in records:
-                whole = "".join(chunks)
-                one = self._record(whole, *next(self._encoded([whole])))
-                records = [one] if one else []
+                ids = self._encoded("".join(chunks))
+                records = [self._record(*ids)] if ids else []
             yield records
 
 
