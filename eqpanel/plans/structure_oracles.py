@@ -103,6 +103,16 @@ dcut AS MATERIALIZED (
   FROM (SELECT *, min(y) OVER (PARTITION BY factor) AS f FROM dxs) WHERE y = f GROUP BY 1)"""
 
 
+# the sign test's normal probability by the power series
+COLUMNS = f"""
+lgc AS (
+  SELECT h, l, CASE WHEN abs(z) > 12 THEN (z > 0)::INT ELSE
+    0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([exp((2 * j + 1) * ln(abs(z) + 1e-300) - (lgamma(j + 1.5) + (j + 1) * ln(2) - 0.5 * ln(pi()))) FOR j IN range(0, 300)]) END AS sure
+  FROM (SELECT avg((high >= greatest(open, close, low))::INT) AS h, avg((low <= least(open, close, high))::INT) AS l,
+          (count(*) FILTER (x < 0) - count(*) FILTER (x > 0)) / sqrt(count(*) FILTER (x <> 0)) AS z
+        FROM (SELECT *, abs(open - lag(close) {W}) - abs(close - lag(open) {W}) AS x FROM bars)))"""
+
+
 def _ic(factor: str) -> str:
     return f"""SELECT '{factor}' AS factor, trading_date, corr(x, y) AS ic FROM (
     SELECT f.trading_date, rank() OVER (PARTITION BY f.trading_date ORDER BY b.{factor}) + (count(*) OVER (PARTITION BY f.trading_date, b.{factor}) - 1) / 2 AS x,
@@ -147,3 +157,14 @@ FROM (SELECT *, first_value(p) OVER (PARTITION BY factor, b ORDER BY y) AS p0 FR
     SELECT g.factor, g.y, g.b, count(c.b) AS k FROM (SELECT * FROM (SELECT DISTINCT factor, y FROM dxs), (SELECT unnest(range(0, 10)) AS b)) g
     LEFT JOIN (SELECT factor, y, len([c FOR c IN q IF c < x]) AS b FROM dxs JOIN dcut USING (factor)) c USING (factor, y, b) GROUP BY 1, 2, 3)))
 GROUP BY 1, 2""")
+    oracle("l13_column_identity", chain(BARS, COLUMNS), """
+SELECT layout, role, col AS "column", method,
+  CASE WHEN role IN ('open', 'close') THEN CASE WHEN layout = 'doubled' THEN 0.5 ELSE sure END WHEN role = 'high' THEN h WHEN role = 'low' THEN l ELSE 1 END AS confidence,
+  layout <> 'doubled' AS accepted, CASE WHEN layout = 'doubled' THEN 'below 0.95: close, open' END AS problem
+FROM (SELECT layout, role, col, method FROM (SELECT unnest([
+    ('named', 'HEADER', ['Ngày', '<Ticker>', 'Open', 'HIGH', 'low', 'Close', 'Vol']), ('unnamed', 'SHAPE', ['c3', 'c6', 'c5', 'c7', 'c4', 'c2', 'c1']),
+    ('swapped', 'SHAPE', ['Ngày', '<Ticker>', 'Vol', 'HIGH', 'low', 'Close', 'Open']), ('doubled', 'SHAPE', ['c3', 'c6', 'c2', 'c7', 'c4', 'c5', 'c1'])]) AS x),
+  LATERAL (SELECT x[1] AS layout, x[2] AS method, unnest(['trading_date', 'symbol', 'open', 'high', 'low', 'close', 'volume']) AS role, unnest(x[3]) AS col)), lgc
+UNION ALL
+SELECT 'turnover', role, CASE role WHEN 'trading_date' THEN 'c3' WHEN 'symbol' THEN 'c6' END, 'SHAPE', NULL, false, '2 columns look like volume'
+FROM (SELECT unnest(['trading_date', 'symbol', 'open', 'high', 'low', 'close', 'volume']) AS role)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eqpanel.functions.checkpoints import checkpointed
 from eqpanel.operators import market as MK
 from eqpanel.operators import normalise as N
 from eqpanel.operators import profiles as PR
@@ -103,3 +104,28 @@ def l25d(spark, sf):
     r = PR.with_returns(D.bars(spark, sf, with_sector=False)).withColumn("year", F.year("trading_date"))
     parts = [r.select(F.lit(f).alias("factor"), "year", F.col(c).cast("double").alias("x")) for f, c in (("return", "r"), ("value", "value"))]
     return PR.drift(parts[0].unionByName(parts[1]), ["factor"], "x", "year")
+
+
+def layouts(spark, sf) -> dict[str, DataFrame]:
+    """The bars as delivered tables: well named, renamed and shuffled, with swapped names, with a doubled price, with a turnover column."""
+    b = checkpointed(D.bars(spark, sf, with_sector=False))  # read by every layout
+    text = {c: F.col(c).cast("string") for c in ("symbol", "open", "high", "low", "close", "volume", "value")}
+    text["trading_date"] = F.date_format("trading_date", "yyyyMMdd")
+    named = {"<Ticker>": "symbol", "Ngày": "trading_date", "Open": "open", "HIGH": "high", "low": "low", "Close": "close", "Vol": "volume"}
+    unnamed = {"c1": "volume", "c2": "close", "c3": "trading_date", "c4": "low", "c5": "open", "c6": "symbol", "c7": "high"}
+    swapped = {**named, "Open": "volume", "Vol": "open"}
+    doubled = {**unnamed, "c2": "open"}
+    turnover = {**unnamed, "c8": "value"}
+    made = {"named": named, "unnamed": unnamed, "swapped": swapped, "doubled": doubled, "turnover": turnover}
+    return {name: b.select(*[text[c].alias(h) for h, c in m.items()]) for name, m in made.items()}
+
+
+@query("l13_column_identity", "confidence:6")
+def l13(spark, sf):
+    from eqpanel.sources import columns as CO
+
+    out = None
+    for name, t in layouts(spark, sf).items():
+        found = CO.detect_columns(t, ticker=r"^S\d{9}$").select(F.lit(name).alias("layout"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
