@@ -113,10 +113,10 @@ def official_index(index_bars: DataFrame, calendar: DataFrame, priority: Sequenc
     names = F.array(*[F.lit(c) for c in priority])
     warning = (
         F.when(F.col("__ix").isNotNull(), F.lit(None).cast("string"))
-        .when(F.col("__rows") == 0, F.lit("no raw-lineaged official index observations"))
-        .when(F.col("__best").isNull(), F.lit("official series absent"))
+        .when(F.col("__rows") == 0, F.lit("no index rows with known origin"))
+        .when(F.col("__best").isNull(), F.lit("none of the listed series is there"))
         .otherwise(
-            F.concat(F.lit("official "), F.try_element_at(names, F.col("__best").cast("int")), F.lit(" latest session missing"))
+            F.concat(F.lit("official "), F.try_element_at(names, F.col("__best").cast("int")), F.lit(" lacks the newest session"))
         )
     )
     return d.select(
@@ -155,12 +155,12 @@ def regimes(cap: DataFrame, equal_weight: DataFrame, breadth_days: DataFrame) ->
     names = F.array(*[F.lit(r) for r in P.REGIMES])
     lv = F.col("regime_level")
     reason = (
-        F.when(lv == 4, "dual-index trend + breadth + turnover confirmed")
-        .when(lv == 3, "positive trend with partial breadth/turnover")
-        .when((lv == 2) & tr.isNull(), "range/neutral; turnover missing caps bull classification")
-        .when(lv == 2, "mixed trend/breadth")
-        .when(lv == 1, "weak trend or breadth")
-        .otherwise("trend and breadth both weak")
+        F.when(lv == 4, "both indices trend, breadth and turnover agree")
+        .when(lv == 3, "upward trend, breadth or turnover only in part")
+        .when((lv == 2) & tr.isNull(), "sideways; without turnover no bull state")
+        .when(lv == 2, "trend and breadth disagree")
+        .when(lv == 1, "trend or breadth is poor")
+        .otherwise("trend and breadth are poor")
     )
     return d.withColumn("regime_level", level).select(
         DAY, F.element_at(names, lv + 1).alias("regime"), "regime_level", "cap_score", "ew_score",

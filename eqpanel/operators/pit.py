@@ -103,7 +103,7 @@ def exactly_one(requests: DataFrame, intervals: DataFrame) -> DataFrame:
     )
     return out.select(
         "symbol", "as_of", "matches", F.when(F.col("matches") == 1, F.col("sector_name")).alias("sector_name"),
-        F.when(F.col("matches") != 1, "expected exactly one sector classification").alias("error"),
+        F.when(F.col("matches") != 1, "not exactly one classification").alias("error"),
     )
 
 

@@ -110,7 +110,7 @@ def trial_counts(ledger: DataFrame) -> DataFrame:
     """Declared trials per family; repeated identifiers raise when read."""
     d = ledger.groupBy("family").agg(F.count("variant").alias("n"), F.count_distinct("variant").alias("u"))
     checked = F.when(
-        F.col("n") != F.col("u"), F.raise_error(F.lit("every tried variant needs a unique identifier")).cast("long")
+        F.col("n") != F.col("u"), F.raise_error(F.lit("a tried variant is listed twice")).cast("long")
     ).otherwise(F.col("n"))
     return d.select("family", checked.alias("trials_accounted"))
 
@@ -185,8 +185,8 @@ def complete_shadow_period(reports: DataFrame, minimum_sessions: int) -> DataFra
         return F.raise_error(F.lit(text)).cast("string")
 
     state = (
-        F.when(F.col("state") != "SHADOW_ONLY", stop("only a validation-passed strategy may complete shadow operation"))
-        .when(~F.col("no_capital"), stop("shadow operation must use no capital"))
+        F.when(F.col("state") != "SHADOW_ONLY", stop("shadow operation ends only for validated families"))
+        .when(~F.col("no_capital"), stop("capital was used in shadow operation"))
         .when(F.col("sessions_observed") < minimum_sessions, F.col("state"))
         .otherwise(F.lit("ELIGIBLE_FOR_ACCEPTANCE_REVIEW"))
     )

@@ -58,6 +58,18 @@ rep AS MATERIALIZED (
 wm AS MATERIALIZED (
   SELECT symbol, max(session) AS s, symbol || '-' || max(y) AS run FROM rep WHERE ok GROUP BY 1)"""
 
+FATES = """
+hold AS MATERIALIZED (SELECT DISTINCT symbol FROM bars WHERE year(trading_date) = 1995 AND CAST(substr(symbol, 2) AS INT) % 5 = 0),
+pays AS MATERIALIZED (
+  SELECT symbol, year(trading_date) AS y, 'p1-' || symbol || '-' || year(trading_date) AS id, count(*) AS n, CAST(substr(symbol, 2) AS INT) AS k,
+    symbol IN (SELECT symbol FROM hold) AS bad FROM bars GROUP BY 1, 2),
+fte AS MATERIALIZED (
+  SELECT 0 AS b, id, n, 'ACCEPTED' AS fate, CASE WHEN bad THEN 'held' ELSE 'new' END AS what FROM pays WHERE y < 1998
+  UNION ALL
+  SELECT 1, id, n, CASE WHEN y < 1998 THEN 'REPEATED' WHEN y = 1998 AND k % 7 = 0 THEN 'LATE' WHEN y % 10 = 9 THEN 'REFUSED' ELSE 'ACCEPTED' END, 'new' FROM pays WHERE y >= 1996
+  UNION ALL
+  SELECT 1, id || '-again', n, 'ACCEPTED', CASE WHEN bad THEN 'new' ELSE 'stored' END FROM pays WHERE y IN (1996, 1997))"""
+
 TICKS = """SELECT event_type AS symbol, ts::DATE AS trading_date, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close,
   count(*) AS volume FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS p, row(ts, event_id) AS k FROM events) GROUP BY 1, 2"""
 
@@ -65,7 +77,7 @@ TICKS = """SELECT event_type AS symbol, ts::DATE AS trading_date, arg_min(p, k)
 def register() -> None:
     oracle("a07_json_bars", BARS, f"SELECT {ROWS}, value::DOUBLE AS value, provider FROM bars WHERE year(trading_date) % 10 <> 9")
     oracle("a07_refused_payloads", BARS, """
-SELECT DISTINCT 'p1' AS provider, 'p1-' || symbol || '-' || year(trading_date) AS snapshot_id, 'mapped response field is absent' AS problem
+SELECT DISTINCT 'p1' AS provider, 'p1-' || symbol || '-' || year(trading_date) AS snapshot_id, 'a mapped field is missing' AS problem
 FROM bars WHERE year(trading_date) % 10 = 9""")
     oracle("a09_json_index_bars", BARS, """
 SELECT symbol AS index_code, trading_date, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close,
@@ -104,8 +116,8 @@ SELECT symbol, trading_date, close FROM bars WHERE trading_date >= DATE '1997-06
     oracle("c10_new_observations", BARS, "SELECT symbol, trading_date, close FROM bars WHERE trading_date >= DATE '1998-01-01'")
     oracle("i05_new_counts", BARS, "SELECT symbol, count(*) AS new_rows FROM bars WHERE trading_date >= DATE '1998-01-01' GROUP BY 1")
     oracle("g06_expected_session", "", """
-SELECT as_of, (SELECT max(d) FROM (SELECT as_of - CAST(i AS INT) AS d FROM range(31) r(i)) WHERE isodow(d) < 6
-  AND NOT (day(d) <= 2 AND month(d) IN (1, 9) AND d IN (SELECT o_orderdate::DATE FROM orders))) AS expected_session
+SELECT as_of, (SELECT max(d) FROM (SELECT as_of - CAST(i AS INT) AS d FROM range(400) r(i)) WHERE isodow(d) < 6
+  AND NOT (day(d) <= 2 AND month(d) IN (1, 9) AND d IN (SELECT o_orderdate::DATE FROM orders)) AND NOT d BETWEEN DATE '1996-03-04' AND DATE '1996-05-31') AS expected_session
 FROM (SELECT DISTINCT o_orderdate::DATE AS as_of FROM orders)""")
     once = chain(BARS, SESSIONS, CANON, SIMPLE.format(src="canon"))
     oracle("i06_batch_verdict", once, f"""
@@ -115,15 +127,15 @@ SELECT min(dq_score) AS dq_score, count(*) FILTER (dq_status = 'FAIL') AS failed
 FROM ({scored('simple', 'symbol', 'SELECT DISTINCT symbol FROM bars')})""")
     oracle("i10_g17_sync_status", BARS, """
 SELECT symbol AS run_id, state, CASE WHEN state = 'FRESH' THEN 'success' WHEN cache THEN 'warning' ELSE 'error' END AS severity,
-  state || ' — ' || CASE state WHEN 'FRESH' THEN 'synchronization completed with accepted canonical data.'
-    WHEN 'STALE' THEN 'accepted cached data is older than the expected market session.'
-    ELSE 'provider synchronization failed; accepted cached data is retained.' END AS primary_message,
-  'provider: p1; data as of: ' || d || '; last sync: ' || d || '; DQ: PASS; cache accepted: ' || CASE WHEN cache THEN 'yes' ELSE 'no' END
-    || '; actionable recommendations: ' || CASE WHEN mode = 'LIVE' THEN 'allowed' ELSE 'blocked' END AS details
-FROM (SELECT *, mode <> 'STALE' AS cache, CASE mode WHEN 'LIVE' THEN 'FRESH' ELSE mode END AS state FROM (
-  SELECT symbol, d, CASE WHEN v % 3 <> 0 AND e = d THEN 'LIVE' WHEN e - d > 7 THEN 'STALE' ELSE 'DEGRADED_CACHED_DATA' END AS mode
-  FROM (SELECT symbol, max(trading_date) AS d, sum(volume) AS v FROM bars GROUP BY 1), (SELECT max(trading_date) AS e FROM bars)))
-  """)
+  state || ' — ' || CASE state WHEN 'FRESH' THEN 'the run finished and its data was accepted.' WHEN 'STALE' THEN 'stored data ends before the expected session.'
+    WHEN 'NO_ADMITTED_PROVIDER' THEN 'no admitted provider can be asked.' WHEN 'FAILED' THEN 'provider timed out'
+    ELSE 'the last run failed; earlier accepted data stays in use.' END AS primary_message,
+  'provider: ' || CASE WHEN cache THEN 'p1' ELSE 'none' END || '; data as of: ' || coalesce(CAST(CASE WHEN cache THEN d END AS VARCHAR), 'unavailable') || '; last sync: ' || coalesce(CAST(CASE WHEN cache THEN d END AS VARCHAR), 'never')
+    || '; DQ: ' || CASE WHEN cache THEN 'PASS' ELSE 'NOT_RUN' END || '; cache accepted: ' || CASE WHEN cache THEN 'yes' ELSE 'no' END
+    || '; actionable recommendations: ' || CASE WHEN state = 'FRESH' THEN 'allowed' ELSE 'blocked' END AS details
+FROM (SELECT *, CASE WHEN v % 4 > 1 THEN CASE WHEN cache THEN 'FRESH' ELSE 'FAILED' END WHEN v % 4 = 0 THEN CASE WHEN cache THEN 'STALE' ELSE 'NO_ADMITTED_PROVIDER' END
+    ELSE CASE WHEN cache THEN 'DEGRADED_CACHED_DATA' ELSE 'FAILED' END END AS state
+  FROM (SELECT symbol, max(trading_date) AS d, sum(volume) AS v, sum(volume) % 4 > 1 OR sum(volume) % 3 <> 0 AS cache FROM bars GROUP BY 1))""")
     oracle("i11_coverage", BARS, """
 SELECT provider, symbol, count(*) AS rows, min(trading_date) AS first_session, max(trading_date) AS last_session FROM bars GROUP BY 1, 2""")
     raw = chain(BARS, RAW)
@@ -156,7 +168,20 @@ SELECT trading_date, regime, reason, cap_score, ew_score, breadth_pct_ma50, turn
 FROM regime JOIN (SELECT trading_date, cap_index_mode, cap_index_warning FROM capx) USING (trading_date)
 LEFT JOIN (SELECT trading_date, count(DISTINCT symbol) AS n FROM approved GROUP BY 1) USING (trading_date)""")
     oracle("i13_bars_from_ticks", "", TICKS)
-    oracle("i13_bars_from_tick_stream", "", f"""
-SELECT * FROM ({TICKS}) WHERE trading_date + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
-    oracle("i12_streamed_ingest", BARS, f"""
-SELECT {ROWS}, value::DOUBLE AS value, provider FROM bars WHERE year(trading_date) % 10 <> 9""")
+    oracle("i13_bars_from_tick_stream", "", TICKS)
+    fates = chain(BARS, FATES)
+    oracle("i12_streamed_ingest", fates, f"""
+SELECT {ROWS}, value::DOUBLE AS value, provider FROM bars b LEFT JOIN hold h USING (symbol), LATERAL (SELECT year(trading_date) AS y)
+WHERE CASE WHEN y < 1996 THEN h.symbol IS NULL WHEN y = 1998 THEN CAST(substr(b.symbol, 2) AS INT) % 7 <> 0 ELSE y <> 1999 END""")
+    oracle("i12_held_rows", fates, """
+SELECT symbol, trading_date, open::DOUBLE AS open, high::DOUBLE AS high, CASE WHEN year(trading_date) = 1995 THEN 9999999 ELSE low END::DOUBLE AS low,
+  close::DOUBLE AS close, volume, value::DOUBLE AS value, provider, 'OHLC_LOGIC' AS reason
+FROM bars JOIN hold USING (symbol) WHERE year(trading_date) < 1998""")
+    oracle("i12_snapshot_fates", fates, "SELECT id AS snapshot_id, fate, CASE WHEN fate = 'REFUSED' THEN 'a mapped field is missing' END AS problem, fate IN ('LATE', 'REFUSED') AS kept FROM fte")
+    oracle("i07_published_batches", fates, """
+SELECT b AS batch_id, count(*) AS snapshots, count(*) FILTER (fate = 'ACCEPTED') AS accepted, count(*) FILTER (fate = 'REPEATED') AS repeated,
+  count(*) FILTER (fate = 'LATE') AS late, count(*) FILTER (fate = 'REFUSED') AS refused,
+  coalesce(sum(n) FILTER (fate = 'ACCEPTED'), 0)::BIGINT AS decoded, coalesce(sum(n) FILTER (fate = 'ACCEPTED' AND what = 'new'), 0)::BIGINT AS written,
+  coalesce(sum(n) FILTER (fate = 'ACCEPTED' AND what = 'held'), 0)::BIGINT AS held, coalesce(sum(n) FILTER (fate = 'ACCEPTED' AND what = 'stored'), 0)::BIGINT AS stored,
+  true AS published
+FROM fte GROUP BY 1""")

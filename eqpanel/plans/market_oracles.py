@@ -195,11 +195,11 @@ regime AS MATERIALIZED (
     ['PANIC_BEAR', 'RISK_OFF', 'RANGE', 'CONCENTRATED_BULL', 'STRONG_BULL'][lv + 1] AS regime,
     lv::BIGINT AS regime_level, cap_score::BIGINT AS cap_score, ew_score::BIGINT AS ew_score,
     b50 AS breadth_pct_ma50, tr AS turnover_ratio,
-    CASE WHEN lv = 4 THEN 'dual-index trend + breadth + turnover confirmed'
-         WHEN lv = 3 THEN 'positive trend with partial breadth/turnover'
-         WHEN lv = 2 AND tr IS NULL THEN 'range/neutral; turnover missing caps bull classification'
-         WHEN lv = 2 THEN 'mixed trend/breadth' WHEN lv = 1 THEN 'weak trend or breadth'
-         ELSE 'trend and breadth both weak' END AS reason
+    CASE WHEN lv = 4 THEN 'both indices trend, breadth and turnover agree'
+         WHEN lv = 3 THEN 'upward trend, breadth or turnover only in part'
+         WHEN lv = 2 AND tr IS NULL THEN 'sideways; without turnover no bull state'
+         WHEN lv = 2 THEN 'trend and breadth disagree' WHEN lv = 1 THEN 'trend or breadth is poor'
+         ELSE 'trend and breadth are poor' END AS reason
   FROM rgl)"""
 
 

@@ -38,16 +38,16 @@ disagree AS MATERIALIZED (
   SELECT symbol, trading_date FROM canon GROUP BY 1, 2
   HAVING count(DISTINCT provider) >= 2 AND count(DISTINCT row(open, high, low, close, volume, turnover, adj_close)) > 1)"""
 
-LINEAGE_MSG = "raw snapshot, payload hash, and source reference are required"
-SEM_MSG = "price semantics must explicitly be raw or adjusted"
+LINEAGE_MSG = "snapshot id, content hash or origin is blank"
+SEM_MSG = "prices are marked neither raw nor adjusted"
 ROWFAIL = "'FAIL' AS status, symbol, trading_date, provider, 1::BIGINT AS occurrences"
 SIMPLE = f"""
 simple AS MATERIALIZED (
   SELECT 'LINEAGE_MISSING' AS code, {ROWFAIL}, '{LINEAGE_MSG}' AS message FROM {{src}} WHERE sha = 'unknown'
-  UNION ALL SELECT 'UNIT_UNKNOWN', {ROWFAIL}, 'raw price unit is unknown' FROM {{src}} WHERE lower(unit) = 'unknown'
+  UNION ALL SELECT 'UNIT_UNKNOWN', {ROWFAIL}, 'the price unit was not stated' FROM {{src}} WHERE lower(unit) = 'unknown'
   UNION ALL SELECT 'RAW_ADJUSTED_AMBIGUOUS', {ROWFAIL}, '{SEM_MSG}' FROM {{src}} WHERE sem = 'mixed'
   UNION ALL SELECT 'PROVIDER_DISAGREEMENT', 'WARN', symbol, trading_date, 'p1', 1,
-    'providers disagree; observations retained separately and were not averaged' FROM disagree)"""
+    'providers report different values; all are kept' FROM disagree)"""
 
 DOUBLED = "twice AS MATERIALIZED (SELECT c.* FROM canon c UNION ALL SELECT * FROM canon WHERE no % 101 = 0)"
 
@@ -58,17 +58,17 @@ info AS (
 latest AS (SELECT symbol, max(trading_date) AS trading_date FROM bars GROUP BY 1),
 findings AS MATERIALIZED (
   SELECT * FROM simple
-  UNION ALL SELECT 'PROVIDER_NOT_ADMITTED', {ROWFAIL}, 'provider is not admitted for canonical use' FROM info WHERE provider <> 'p1'
-  UNION ALL SELECT 'UNRESOLVED_CORPORATE_ACTION', {ROWFAIL}, 'corporate action remains unresolved' FROM info WHERE vol % 53 = 0
-  UNION ALL SELECT 'TRADING_STATUS_BLOCKED', {ROWFAIL}, 'trading status is SUSPENDED' FROM info WHERE vol % 41 = 0
-  UNION ALL SELECT 'PRICE_BAND_BREACH', {ROWFAIL}, 'OHLC exceeds the supplied venue price band' FROM info
+  UNION ALL SELECT 'PROVIDER_NOT_ADMITTED', {ROWFAIL}, 'no admission for this provider' FROM info WHERE provider <> 'p1'
+  UNION ALL SELECT 'UNRESOLVED_CORPORATE_ACTION', {ROWFAIL}, 'an open corporate action touches this bar' FROM info WHERE vol % 53 = 0
+  UNION ALL SELECT 'TRADING_STATUS_BLOCKED', {ROWFAIL}, 'security is not trading normally: SUSPENDED' FROM info WHERE vol % 41 = 0
+  UNION ALL SELECT 'PRICE_BAND_BREACH', {ROWFAIL}, 'low or high lies outside the allowed band' FROM info
     WHERE low < ref::DOUBLE * (1 - band) OR high > ref::DOUBLE * (1 + band)
-  UNION ALL SELECT 'DUPLICATE_BAR', 'FAIL', symbol, trading_date, provider, count(*) - 1, 'duplicate symbol/timestamp/provider'
+  UNION ALL SELECT 'DUPLICATE_BAR', 'FAIL', symbol, trading_date, provider, count(*) - 1, 'key stored more than once'
     FROM twice GROUP BY symbol, trading_date, provider HAVING count(*) > 1
-  UNION ALL SELECT 'MISSING_SESSION', 'FAIL', s.symbol, d.trading_date, NULL, 1, 'expected session is absent; no bar was forward-filled'
+  UNION ALL SELECT 'MISSING_SESSION', 'FAIL', s.symbol, d.trading_date, NULL, 1, 'no bar for a session of the calendar'
     FROM latest s CROSS JOIN sess d LEFT JOIN bars b ON b.symbol = s.symbol AND b.trading_date = d.trading_date WHERE b.symbol IS NULL
   UNION ALL SELECT 'STALE_DATA', 'FAIL', symbol, l.trading_date, 'p1', 1,
-    'latest bar ' || l.trading_date || ' precedes expected session ' || e FROM latest l, (SELECT max(trading_date) AS e FROM sess)
+    'newest bar ' || l.trading_date || ' is older than session ' || e FROM latest l, (SELECT max(trading_date) AS e FROM sess)
     WHERE l.trading_date < e)"""
 
 HARD = """code IN ('INVALID_DATE', 'MISSING_SESSION', 'STALE_DATA', 'PRICE_BAND_BREACH', 'TRADING_STATUS_BLOCKED', 'UNIT_UNKNOWN',
@@ -105,7 +105,7 @@ SELECT as_of, mode, count(*) AS members, string_agg(DISTINCT source, ';' ORDER B
     oracle("c06_exactly_one_class", iv, """
 SELECT b.symbol, trading_date AS as_of, count(i.symbol) AS matches,
   CASE WHEN count(i.symbol) = 1 THEN max(sector_name) END AS sector_name,
-  CASE WHEN count(i.symbol) <> 1 THEN 'expected exactly one sector classification' END AS error
+  CASE WHEN count(i.symbol) <> 1 THEN 'not exactly one classification' END AS error
 FROM bars b LEFT JOIN ivl i ON i.symbol = b.symbol AND f <= trading_date AND (t IS NULL OR t >= trading_date) GROUP BY 1, 2""")
     ss = chain(BARS, SESSIONS)
     oracle("c11_missing_sessions", ss, """

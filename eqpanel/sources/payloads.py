@@ -73,8 +73,8 @@ def json_bars(
 
     return d.select(
         F.upper(F.trim(get("symbol"))).alias("symbol"), _day(get("trading_date")).alias("trading_date"),
-        *[(get(c).cast("double") * price_multiplier).alias(c) for c in PRICES],
-        get("volume").cast("double").cast("long").alias("volume"), get("value").cast("double").alias("value"), "provider", *keep,
+        *[(get(c).try_cast("double") * price_multiplier).alias(c) for c in PRICES],
+        get("volume").try_cast("double").try_cast("long").alias("volume"), get("value").try_cast("double").alias("value"), "provider", *keep,
     )
 
 
@@ -93,14 +93,18 @@ def _usable(snapshots: DataFrame, field_map: Mapping[str, str]) -> DataFrame:
     def no_number(field: str) -> Column:
         return F.exists("__records", lambda r: r[field].try_cast("double").isNull())
 
+    def bad_number(field: str) -> Column:
+        """Optional field: blank is no value, other text is refused."""
+        return F.exists("__records", lambda r: (F.trim(r[field]) != "") & r[field].try_cast("double").isNull())
+
     def any_of(conditions: list[Column]) -> Column:
         return F.coalesce(*[F.when(c, True) for c in conditions], F.lit(False))
 
     problem = (
         F.when(F.col("__records").isNull(), "no record list")
-        .when(any_of([no_key(f) for f in field_map.values()]), "mapped response field is absent")
+        .when(any_of([no_key(f) for f in field_map.values()]), "a mapped field is missing")
         .when(F.lit("symbol" not in field_map), "no mapped symbol field")
-        .when(any_of([no_number(field_map[c]) for c in NEEDED[1:]]), "a number cannot be read")
+        .when(any_of([no_number(field_map[c]) for c in NEEDED[1:]] + [bad_number(field_map[c]) for c in ("value",) if c in field_map]), "a number cannot be read")
         .when(F.exists("__records", lambda r: _day(r[field_map["trading_date"]]).isNull()), "a trading date cannot be read")
     )
     return d.withColumn("__problem", problem)
@@ -139,7 +143,7 @@ def html_bars(
     """Bars from the first table of HTML pages (columns symbol, provider, html, start, end).
 
     Prices are in thousands, dates day-first. Pages whose rows do not match the
-    header, or that lack a column, give an error row in ``html_problems`` instead.
+    header, that lack a column or hold a number or date that cannot be read, give an error row in ``html_problems`` instead.
     """
     d = _tables(pages, aliases).where("__problem IS NULL")
     d = d.select("symbol", "provider", "start", "end", "__at", F.explode("__body").alias("r"))
@@ -148,9 +152,9 @@ def html_bars(
         return F.get("r", F.col("__at")[name] - 1)
 
     out = d.select(
-        F.upper("symbol").alias("symbol"), F.to_date(cell("trading_date"), "d/M/yyyy").alias("trading_date"),
-        *[(cell(c).cast("double") * price_multiplier).alias(c) for c in PRICES],
-        cell("volume").cast("double").cast("long").alias("volume"), F.lit(None).cast("double").alias("value"), "provider", "start", "end",
+        F.upper("symbol").alias("symbol"), F.try_to_date(cell("trading_date"), "d/M/yyyy").alias("trading_date"),
+        *[(cell(c).try_cast("double") * price_multiplier).alias(c) for c in PRICES],
+        cell("volume").try_cast("double").try_cast("long").alias("volume"), F.lit(None).cast("double").alias("value"), "provider", "start", "end",
     )
     return out.where(F.col("trading_date").between(F.col("start"), F.col("end"))).select(*BAR_COLUMNS)
 
@@ -182,9 +186,17 @@ def _tables(pages: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame
         }
     )
     lacks = [F.when(F.coalesce(F.col("__at")[c], F.lit(0)) == 0, F.lit(f"layout lacks {c}")) for c in aliases]
+    at = F.col("__at")
+
+    def no_number(c: str) -> Column:
+        return F.exists("__body", lambda r: F.get(r, at[c] - 1).try_cast("double").isNull())
+
+    unread = [F.when(no_number(c), F.lit("a number cannot be read")) for c in (*PRICES, "volume") if c in aliases]
+    unread.append(F.when(F.exists("__body", lambda r: F.try_to_date(F.get(r, at["trading_date"] - 1), "d/M/yyyy").isNull()), F.lit("a trading date cannot be read")))
     problem = F.coalesce(
         F.when(F.size("__rows") < 2, F.lit("no populated table")),
         F.when(F.exists("__body", lambda r: F.size(r) != F.size(head)), F.lit("inconsistent columns")),
         *lacks,
+        *unread,
     )
     return d.withColumn("__problem", problem)

@@ -19,12 +19,12 @@ INTERVAL_COLUMNS = {
 
 def _text_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, header names lower-cased and stripped."""
-    d = spark.read.option("header", True).csv(path)
+    d = spark.read.option("header", True).option("inferSchema", False).csv(path)
     return d.withColumnsRenamed({c: c.strip().lower() for c in d.columns})
 
 
-def csv_bars(spark: SparkSession, path: str, provider: str, start, end, symbol: str | None = None) -> DataFrame:
-    """Bars from CSV files with a header, limited to [start, end]."""
+def _csv_rows(spark: SparkSession, path: str, provider: str, start, end, symbol: str | None) -> DataFrame:
+    """Typed rows in [start, end] with ``__problem``: the first column that cannot be read, else null."""
     d = _text_csv(spark, path)
     lacking = sorted({"trading_date", "open", "high", "low", "close", "volume"} - set(d.columns))
     if lacking:
@@ -32,11 +32,28 @@ def csv_bars(spark: SparkSession, path: str, provider: str, start, end, symbol:
     d = d.withColumn("trading_date", F.col("trading_date").try_cast("date"))
     d = d.where(F.col("trading_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     if "value" not in d.columns:
-        d = d.withColumn("value", F.lit(None))
+        d = d.withColumn("value", F.lit(None).cast("string"))
     if symbol is not None:
         d = d.withColumn("symbol", F.lit(symbol))
-    numbers = {c: F.col(c).cast("double") for c in ("open", "high", "low", "close", "value")}
-    return d.withColumns({**numbers, "volume": F.col("volume").cast("double").cast("long"), "provider": F.lit(provider)}).select(*BAR_COLUMNS)
+    numbers = ("open", "high", "low", "close", "value", "volume")
+    unread = [F.when((F.trim(c) != "") & F.col(c).try_cast("double").isNull(), F.lit(c)) for c in numbers]
+    typed = {c: F.col(c).try_cast("double") for c in numbers} | {"volume": F.col("volume").try_cast("double").try_cast("long")}
+    return d.withColumn("__problem", F.coalesce(*unread)).withColumns({**typed, "provider": F.lit(provider)})
+
+
+def csv_bars(spark: SparkSession, path: str, provider: str, start, end, symbol: str | None = None) -> DataFrame:
+    """Bars from CSV files with a header, limited to [start, end].
+
+    Blank numbers are null; a row with text for a number is left out here and
+    listed by ``csv_problems``.
+    """
+    return _csv_rows(spark, path, provider, start, end, symbol).where("__problem IS NULL").select(*BAR_COLUMNS)
+
+
+def csv_problems(spark: SparkSession, path: str, provider: str, start, end, symbol: str | None = None) -> DataFrame:
+    """Rows ``csv_bars`` leaves out and the column that cannot be read."""
+    bad = _csv_rows(spark, path, provider, start, end, symbol).where("__problem IS NOT NULL")
+    return bad.select("symbol", "trading_date", F.col("__problem").alias("column"))
 
 
 def csv_members(spark: SparkSession, path: str) -> DataFrame:
@@ -49,11 +66,12 @@ def csv_intervals(spark: SparkSession, path: str, kind: str) -> DataFrame:
     lacking = sorted(set(INTERVAL_COLUMNS[kind]) - set(d.columns))
     if lacking:
         raise ValueError(f"missing columns: {lacking}")
+    # place in the files, for "the later row wins": file, then block, then row in the block
+    d = d.withColumn("file_ordinal", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
     d = d.withColumns(
         {"symbol": F.upper(F.trim("symbol")), "effective_from": F.col("effective_from").cast("date"), "effective_to": F.col("effective_to").try_cast("date")}
     )
-    # position in the file, for "the later row wins"
-    return d.withColumn("file_ordinal", F.monotonically_increasing_id()).select(*INTERVAL_COLUMNS[kind], "file_ordinal")
+    return d.select(*INTERVAL_COLUMNS[kind], "file_ordinal")
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -91,10 +109,14 @@ def read_published(spark: SparkSession, path: str, schema=None, latest_only: boo
     The manifest holds one row per accepted batch and prunes the revision folders.
     """
     m = spark.read.parquet(f"{path}/manifest")
-    m = m.agg(F.max_by("revision", F.struct("accepted_at", "revision")).alias("revision")) if latest_only else m.select("revision").distinct()
     reader = spark.read.option("basePath", f"{path}/data")
-    data = (reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)).parquet(f"{path}/data")
-    return data.withColumn("revision", F.col("revision").cast("string")).join(m, "revision", "left_semi")
+    reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
+    if latest_only:
+        newest = m.agg(F.max_by("revision", F.struct("accepted_at", "revision")).alias("r")).first().r  # one row
+        d = reader.parquet(f"{path}/data/revision={newest}")
+        return d.withColumn("revision", F.lit(newest))
+    data = reader.parquet(f"{path}/data")
+    return data.withColumn("revision", F.col("revision").cast("string")).join(m.select("revision").distinct(), "revision", "left_semi")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -107,7 +107,7 @@ def test_json_envelopes_and_refusals(spark):
     got = PL.json_bars(p, FIELDS, 1000.0).collect()
     assert {(r.symbol, r.trading_date, r.close) for r in got} == {("AAA", D1, 10500.0)} and len(got) == 2
     assert {r.snapshot_id: r.problem for r in PL.refused(p, FIELDS).collect()} == {
-        "p-2": "mapped response field is absent", "p-3": "no record list", "p-4": "a number cannot be read"
+        "p-2": "a mapped field is missing", "p-3": "no record list", "p-4": "a number cannot be read"
     }
     with pytest.raises(ValueError):
         PL.json_bars(p, {"symbol": "ticker"})
