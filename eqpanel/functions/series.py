@@ -116,7 +116,8 @@ class Smoothing:
     """Recursive smoothing y_t = (1-a) y_{t-1} + a x_t seeded with the first value.
 
     A spec is (input, a, least observations, output) or the same with the number of
-    leading rows whose input is null; other nulls are not allowed. Written without
+    leading rows whose input is null. From any other null on a series has no
+    value: what the gap did to the average is not known. Written without
     recursion: with b = 1-a, ``y_t = b^j * sum(c_i x_i b^-i) + b^(j+1) * y(end of the
     block before)``. The exponent restarts every ``block`` rows so that b^-i stays
     finite; blocks further back than ``depth`` weigh less than a double can hold.
@@ -127,7 +128,8 @@ class Smoothing:
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.order = order
         self.block = min([block] + [int(600 / -math.log1p(-s[1])) for s in self.specs])
-        self.helpers = ["__pos", "__blk", "__j"] + [f"__y{i}" for i in range(len(self.specs))]
+        self.counted = {name: i for i, name in enumerate(dict.fromkeys(s[0] for s in self.specs))}
+        self.helpers = ["__pos", "__blk", "__j"] + [f"__y{i}" for i in range(len(self.specs))] + [f"__k{i}" for i in self.counted.values()]
 
     def position(self) -> dict[str, Column]:
         return {"__pos": F.expr(f"row_number() {over(self.keys, self.order)} - 1")}
@@ -141,11 +143,13 @@ class Smoothing:
         for i, (name, a, _, _, skip) in enumerate(self.specs):
             term = f"{name} * if(__pos = {skip}, 1D, {a!r}D) * pow({1 - a}D, -__j)"
             out[f"__y{i}"] = F.expr(f"pow({1 - a}D, __j) * sum({term}) {inside}")
+        for name, i in self.counted.items():
+            out[f"__k{i}"] = F.expr(f"count({name}) {over(self.keys, self.order, RUNNING)}")
         return out
 
     def smoothed(self) -> dict[str, Column]:
         out = {}
-        for i, (_, a, least, alias, skip) in enumerate(self.specs):
+        for i, (name, a, least, alias, skip) in enumerate(self.specs):
             b = 1 - a
             depth = max(1, math.ceil(40.0 / (-math.log(b) * self.block)))
             y = f"__y{i}"
@@ -153,7 +157,8 @@ class Smoothing:
                 w = over(self.keys, "__blk", f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING")
                 end = f"max(CASE WHEN __j = {self.block - 1} THEN __y{i} END) {w}"
                 y += f" + coalesce(pow({b!r}D, __j + {1 + (back - 1) * self.block}) * {end}, 0D)"
-            out[alias] = F.expr(f"CASE WHEN __pos >= {least - 1 + skip} THEN {y} END")
+            whole = f"__k{self.counted[name]} = __pos - {skip - 1}"
+            out[alias] = F.expr(f"CASE WHEN __pos >= {least - 1 + skip} AND {whole} THEN {y} END")
         return out
 
 

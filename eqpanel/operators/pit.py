@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eqpanel.functions.asof import as_of_calendar
+
 SECTOR_FIELDS = {
     "sector": "sector_name",
     "sector_code": "sector_code",
@@ -55,34 +57,62 @@ def universe_as_of(
     interval covers takes ``current_members`` (column ``symbol``) labelled as a proxy
     when given; without it the date is absent here and listed by ``uncovered_dates``.
     """
-    d = dates.select("as_of", F.lit(index_code).alias("index_code"))
-    m = intervals.withColumn("symbol", F.upper(F.trim("symbol")))
+    days = _numbered(dates)
+    members = intervals.where(F.col("index_code") == index_code).withColumn("symbol", F.upper(F.trim("symbol")))
     strict = (
-        m.join(F.broadcast(d), "index_code")
-        .where(covers(F.col("as_of"), F.col("effective_from"), F.col("effective_to")))
+        _covered(members.select("symbol", "effective_from", "effective_to", "source", "source_snapshot_id"), days)
         .groupBy("as_of", "symbol")
         .agg(F.min("source").alias("source"), F.min("source_snapshot_id").alias("source_snapshot_id"))
         .select("as_of", "symbol", F.lit("STRICT_PIT").alias("mode"), "source", "source_snapshot_id")
     )
     if current_members is None:
         return strict
-    open_days = uncovered_dates(dates, intervals, index_code).withColumn("__k", F.lit(1))
-    members = current_members.select(F.upper("symbol").alias("symbol")).distinct().withColumn("__k", F.lit(1))
-    proxy = members.join(F.broadcast(open_days), "__k").select(
+    # every member stands for each bare date: as many rows as the answer has
+    bare = uncovered_dates(dates, intervals, index_code).agg(F.array_sort(F.collect_set("as_of")).alias("__days"))  # bounded by the calendar
+    symbols = current_members.select(F.upper("symbol").alias("symbol")).distinct()
+    proxy = symbols.join(F.broadcast(bare)).select(F.explode("__days").alias("as_of"), "symbol").select(
         "as_of", "symbol", F.lit("CURRENT_UNIVERSE_PROXY").alias("mode"),
         F.lit("current-provider-membership").alias("source"), F.lit(None).cast("string").alias("source_snapshot_id"),
     )
     return strict.unionByName(proxy)
 
 
+def _numbered(dates: DataFrame) -> DataFrame:
+    """Distinct dates with consecutive numbers from 0; bounded by the calendar."""
+    return dates.select("as_of").where("as_of IS NOT NULL").distinct().withColumn("__no", F.row_number().over(Window.orderBy("as_of")) - 1)
+
+
+def _placed(intervals: DataFrame, days: DataFrame) -> DataFrame:
+    """``intervals`` with the numbers of the first and last date they cover; those that cover none are left out."""
+    last = days.agg(F.max("__no").alias("__end"))  # one row
+    d = as_of_calendar(intervals, "effective_from", days.select("as_of", F.col("__no").alias("__before")), "as_of", ["__before"], strict=True)
+    d = as_of_calendar(d, "effective_to", days.select("as_of", F.col("__no").alias("__upto")), "as_of", ["__upto"])
+    d = d.crossJoin(F.broadcast(last)).where("effective_from IS NOT NULL")
+    d = d.withColumns(
+        {"__from": F.coalesce(F.col("__before") + 1, F.lit(0)), "__to": F.when(F.col("effective_to").isNull(), F.col("__end")).otherwise(F.coalesce("__upto", F.lit(-1)))}
+    )
+    return d.where("__from <= __to").drop("__before", "__upto", "__end")
+
+
+def _covered(intervals: DataFrame, days: DataFrame) -> DataFrame:
+    """A row for each interval and date it covers: no more than the answer holds."""
+    d = _placed(intervals, days).withColumn("__no", F.explode(F.sequence("__from", "__to")))
+    return d.join(F.broadcast(days), "__no").drop("__no", "__from", "__to")
+
+
 def uncovered_dates(dates: DataFrame, intervals: DataFrame, index_code: str) -> DataFrame:
-    """Dates without any member interval: the error rows of a strict resolution."""
-    spans = intervals.where(F.col("index_code") == index_code).select("effective_from", "effective_to").distinct()
-    # dates are few; the intervals stream past them
-    hit = spans.join(
-        F.broadcast(dates.select("as_of")), covers(F.col("as_of"), F.col("effective_from"), F.col("effective_to"))
-    ).select("as_of").distinct()
-    return dates.select("as_of").join(hit, "as_of", "left_anti")
+    """Dates without any member interval: the error rows of a strict resolution.
+
+    Intervals open and close at dates of the calendar; a running sum of both says
+    how many are open.
+    """
+    days = _numbered(dates)
+    spans = _placed(intervals.where(F.col("index_code") == index_code).select("effective_from", "effective_to").distinct(), days)
+    steps = spans.select(F.explode(F.array(F.struct(F.col("__from").alias("__no"), F.lit(1).alias("s")), F.struct((F.col("__to") + 1).alias("__no"), F.lit(-1).alias("s")))).alias("e"))
+    steps = steps.select("e.*").groupBy("__no").agg(F.sum("s").alias("s"))
+    run = F.sum(F.coalesce("s", F.lit(0))).over(Window.orderBy("__no").rowsBetween(Window.unboundedPreceding, 0))
+    bare = days.join(steps, "__no", "left").withColumn("open", run).where("open = 0").select("as_of")
+    return dates.select("as_of").join(F.broadcast(bare), "as_of", "left_semi")
 
 
 def universe_summary(members: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from eqpanel import params as P
 from eqpanel.functions.checkpoints import checkpointed
 from eqpanel.functions.normal import normal_cdf, normal_quantile
-from eqpanel.functions.ordered import value_positions
-from eqpanel.operators.validation import hash_number
+from eqpanel.functions.ordered import join_null_safe, value_positions
+from eqpanel.operators.validation import hash_number, max_drawdown
 
 #: Fixed value: the Euler-Mascheroni constant.
 GAMMA = 0.5772156649015329
@@ -124,6 +124,37 @@ def concentration(trades: DataFrame, by: Sequence[str], over: str, value: str =
     return d.select(*by, "n", F.expr("__m / n").alias("largest_share"), F.expr("__q / (double(n) * n)").alias("concentration"))
 
 
+def extended_metrics(daily: DataFrame, benchmark: DataFrame, by: Sequence[str], sessions_per_year: int = 250) -> DataFrame:
+    """Maximum drawdown, Calmar and information ratio per group, beside growth.
+
+    ``daily``: by, trading_date, ret; ``benchmark``: trading_date, bench (one row
+    per session). Sessions without a benchmark do not count for the information
+    ratio; without a fall there is no Calmar ratio.
+    """
+    by, year = list(by), float(sessions_per_year)
+    d = checkpointed(daily.where("ret IS NOT NULL").join(F.broadcast(benchmark.select("trading_date", "bench")), "trading_date", "left"))
+    active = F.col("ret") - F.col("bench")
+    agg = d.groupBy(*by).agg(
+        F.count("ret").alias("sessions"), F.sum(F.log1p("ret")).alias("__g"), F.avg(active).alias("__m"), F.stddev_samp(active).alias("__s")
+    )
+    fall = max_drawdown(d, by, ["trading_date"], "ret")
+    joined = join_null_safe(agg, fall, by, "left") if by else agg.crossJoin(fall)  # one row each
+    joined = joined.withColumn("cagr", F.exp(F.col("__g") * year / F.col("sessions")) - 1)
+    return joined.select(
+        *by, "sessions", "cagr", "max_drawdown", F.expr("cagr / nullif(-max_drawdown, 0D)").alias("calmar"),
+        (F.expr("__m / nullif(__s, 0D)") * year**0.5).alias("information_ratio"),
+    )
+
+
+def score_deciles(rows: DataFrame, score: str, outcome: str = "net_return") -> DataFrame:
+    """Trades, hit rate and mean outcome per decile of the score, 1 the lowest; ties share a decile."""
+    d = checkpointed(rows.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).select(F.col(score).alias("__x"), F.col(outcome).alias("__y")))
+    at = value_positions(d, [], "__x").select("__x", F.least(F.lit(10), F.floor((F.col("before") + (F.col("n") + 1) / 2 - 0.5) / F.col("total") * 10) + 1).alias("decile"))
+    return d.join(at, "__x").groupBy("decile").agg(
+        F.count(F.lit(1)).alias("trades"), F.avg((F.col("__y") > 0).cast("int")).alias("hit_rate"), F.avg("__y").alias("mean_outcome")
+    )
+
+
 def auc(rows: DataFrame, by: Sequence[str], score: str, outcome: str) -> DataFrame:
     """Exact area under the ROC curve per group, ties counted half; null without both outcomes.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eqpanel import params as P
 from eqpanel.functions.checkpoints import checkpointed
-from eqpanel.functions.ordered import largest_group
+from eqpanel.functions.ordered import join_null_safe, largest_group
 
 POSITION = (
     "struct<symbol:string,sector:string,correlated_group:string,quantity:bigint,market_price:double,risk_stop:double>"
@@ -193,7 +193,7 @@ def approve(
     else:
         accepted = _accepted_by_rounds(open_rows, keys)
     none = F.array().cast(f"array<{HELD}>")
-    d = d.join(accepted, keys, "left").withColumn("__held", F.coalesce("__held", none))
+    d = join_null_safe(d, accepted, keys, "left").withColumn("__held", F.coalesce("__held", none))
     before = F.filter("__held", lambda h: h["priority"] < F.col("priority"))
     seen = F.concat(F.col("positions"), _as_positions(before))
     d = d.withColumn("__d", decide(_row(), _account(), seen))
@@ -232,8 +232,10 @@ def _accepted_by_rounds(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same list for keys of any size, one accepted row per key and round.
 
     Between two acceptances nothing changes, so the next accepted row is the first
-    one (a map-side combined minimum) that passes under the current holdings. At
-    most ``MAX_POSITIONS`` rounds; no key is ever gathered in one task.
+    one (a map-side combined minimum) that passes under the current holdings. Rows
+    that do not pass now never will, because capacity only shrinks, so each round
+    keeps only those that do. At most ``MAX_POSITIONS`` rounds; no key is ever
+    gathered in one task.
     """
     need = [*keys, "priority", "symbol", "sector", "correlated_group", "entry_price", "risk_stop", "adv_shares", "regime"]
     rows = rows.select(*need, "positions", *CONTEXT)
@@ -241,13 +243,14 @@ def _accepted_by_rounds(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     last = F.coalesce(F.try_element_at("__held", F.lit(-1))["priority"], F.lit(-(2**62)))
     verdict = decide(_row(), _account(), F.concat(F.col("positions"), _as_positions(F.col("__held"))))
     for _ in range(P.MAX_POSITIONS):
-        d = rows.join(held, keys).where(F.col("priority") > last).withColumn("__d", verdict)
-        nxt = d.where("__d.status <> 'REJECTED'").groupBy(*keys).agg(F.min(_held(F.col, F.col("__d.quantity"))).alias("__next"))
-        nxt = checkpointed(nxt)
+        d = join_null_safe(rows, held, keys).where(F.col("priority") > last).withColumn("__d", verdict)
+        d = checkpointed(d.where("__d.status <> 'REJECTED'").select(*rows.columns, F.col("__d.quantity").alias("__q")))
+        rows = d.drop("__q")
+        nxt = checkpointed(d.groupBy(*keys).agg(F.min(_held(F.col, F.col("__q"))).alias("__next")))
         if nxt.isEmpty():
             break
         grown = F.when(F.col("__next").isNotNull(), F.array_append("__held", F.col("__next"))).otherwise(F.col("__held"))
-        held = checkpointed(held.join(nxt, keys, "left").select(*keys, grown.alias("__held")))
+        held = checkpointed(join_null_safe(held, nxt, keys, "left").select(*keys, grown.alias("__held")))
     return held
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eqpanel import params as P
+from eqpanel.functions.asof import as_of_calendar
 from eqpanel.functions.rules import ceiling_price, finite_positive, floor_price, round_down_to_tick
 from eqpanel.functions.series import ewm, rolling_extreme, rolling_means, series_window
 from eqpanel.operators.outcomes import entry_fill
@@ -202,13 +203,8 @@ def build_recommendations(requests: DataFrame, calendar: DataFrame) -> DataFrame
     Signal dates between sessions take the next session after them.
     """
     days = settlement_calendar(calendar)
-    # a range of dates up to the next session maps any signal date to one session
-    span = days.withColumn("__until", F.coalesce("attempt_date", F.lit("9999-12-31").cast("date")))
-    d = requests.join(
-        F.broadcast(span.withColumnRenamed(DAY, "__from")),  # bounded by the calendar
-        (F.col("signal_date") >= F.col("__from")) & (F.col("signal_date") < F.col("__until")),
-        "left",
-    )
+    # the session a signal date falls on or after says what comes next
+    d = as_of_calendar(requests, "signal_date", days, DAY, ["attempt_date", "sellable_date", "policy_exit_date"])
     text = ("symbol", "setup", "entry_trigger", "invalidation", "forecast_status", "dq_status", "sector", "correlated_group")
     blank = F.lit(False)
     for t in text:

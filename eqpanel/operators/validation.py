@@ -39,7 +39,9 @@ def fold_dates(dates: DataFrame, folds: DataFrame) -> DataFrame:
     pos = dates.select("trading_date").distinct().withColumn(
         "position", F.row_number().over(Window.orderBy("trading_date")) - 1
     )
-    d = pos.join(F.broadcast(folds), F.col("position") <= F.col("test_end"))
+    # a row for each fold and date up to its end, which is what the answer holds
+    reach = folds.select("*", F.explode(F.sequence(F.lit(0), "test_end")).alias("position"))
+    d = pos.join(reach, "position")
     role = (
         F.when(F.col("position") <= F.col("train_end"), "train").when(F.col("position") < F.col("test_start"), "embargo").otherwise("test")
     )

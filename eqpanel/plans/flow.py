@@ -21,12 +21,15 @@ DAY = "trading_date"
 
 
 def analyse(
-    bars: DataFrame, index_bars: DataFrame, index_priority: Sequence[str], symbols_bound: int | None = None
+    bars: DataFrame, index_bars: DataFrame, index_priority: Sequence[str], symbols_bound: int | None = None, raw_snapshots: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Features with ranks, breadth, equal-weight index, regimes and sector scores.
 
     The feature panel is written once: every later table reads a few of its columns.
+    With ``raw_snapshots`` only index bars that one of them supports are used.
     """
+    if raw_snapshots is not None:
+        index_bars = MK.verified_index_bars(index_bars, raw_snapshots)
     f = FE.add_baseline_features(bars)
     f = S.price_plan(S.downside_atr(f))
     panel = checkpointed(RS.add_cross_sectional_rs(f, symbols_bound=symbols_bound))
