@@ -6,7 +6,7 @@ import importlib
 
 from eqpanel.plans.registry import ORACLES, QUERIES
 
-AREAS = ("market", "signal", "quality", "validation", "ingest", "profile", "research", "structure")
+AREAS = ("market", "signal", "quality", "validation", "ingest", "profile", "research", "structure", "policy")
 
 for _area in AREAS:
     importlib.import_module(f"eqpanel.plans.{_area}_queries")
