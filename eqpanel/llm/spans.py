@@ -21,15 +21,20 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eqpanel.functions.checkpoints import checkpointed
-from eqpanel.llm.common import each_row, table
+from eqpanel.llm.common import table
 
 RUN, LEAST, NEAR = 2, 15, 9
+#: Runs compared within a task before they are sent on (about 100 bytes each).
+BLOCK_RUNS = 1 << 20
+_LOW = 0xFFFFFFFF
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z")
 _WORD = re.compile(r"\S+\s*")
 
@@ -81,15 +86,69 @@ def runs(text: str, run: int = RUN, least: int = LEAST) -> list[tuple[int, int,
     return out
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First place of each hash of a block of runs, and what the others certainly cover.
+
+    A place that has another before it in its block is not the first of all, so
+    only the block's first ones have to meet those of other blocks. The rest are
+    united to intervals of their documents.
+    """
+    names = ["certain", "key", "doc_id", "text_hash", "span"]
+    ids, hashes, of, keys, spans = [], [], array("q"), array("q"), array("q")
+
+    def block() -> pa.RecordBatch:
+        null = np.array([d is None for d in ids], bool)
+        doc, text, row = np.array([d or 0 for d in ids], np.int64), np.array(hashes, np.int32), np.array(of, np.int64)
+        key, span = np.array(keys, np.int64), np.array(spans, np.int64)
+        by = np.lexsort((span, text[row], doc[row], ~null[row], key))
+        row, key, span = row[by], key[by], span[by]
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        same = (span == span[first]) & (doc[row] == doc[row[first]]) & (text[row] == text[row[first]]) & (null[row] == null[row[first]])
+        over = np.sort(row[~same] << 32 | span[~same] >> 32), (row[~same] << 32 | span[~same] & _LOW)[np.argsort(row[~same] << 32 | span[~same] >> 32, kind="stable")]
+        reach = np.maximum.accumulate(over[1]) if len(over[1]) else over[1]
+        opens = np.append(True, over[0][1:] > reach[:-1]) if len(reach) else np.zeros(0, bool)
+        start, end = over[0][opens], reach[np.append(opens[1:], True)] if len(reach) else reach
+        sure_row, sure_span = start >> 32, (start & _LOW) << 32 | end & _LOW
+        all_rows = np.concatenate([row[new], sure_row])
+        # certain rows meet no others; any spread key will do
+        spread = (doc[sure_row] * np.int64(2654435761)) ^ sure_span
+        out = pa.RecordBatch.from_arrays([
+            pa.array(np.arange(len(all_rows)) >= new.sum()), pa.array(np.concatenate([key[new], spread])), pa.array(doc[all_rows], mask=null[all_rows]),
+            pa.array(text[all_rows]), pa.array(np.concatenate([span[new], sure_span])),
+        ], names)
+        for held in (ids, hashes, of, keys, spans):
+            del held[:]
+        return out
+
+    for batch in batches:
+        for d, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = runs(x) if x else []
+            if found:
+                ids.append(d)
+                hashes.append(t)
+                for h, a, b in found:
+                    of.append(len(ids) - 1)
+                    keys.append(h)
+                    spans.append(a << 32 | b)
+            if len(keys) >= BLOCK_RUNS:
+                yield block()
+    if keys:
+        yield block()
+
+
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, gone): sentences to remove from each document that loses any."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = "doc_id long, text_hash long, h long, first int, last int"
-    rows = checkpointed(each_row(keyed, ["doc_id", "text_hash", "text"], lambda: lambda d, t, x: [(d, t, *r) for r in runs(x or "")], schema))
-    place = F.struct("doc_id", "text_hash", "first")
-    repeated = rows.groupBy("h").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("h", "kept")
-    later = rows.join(repeated, "h").filter(F.struct("doc_id", "text_hash", "first") != F.col("kept"))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("gone"))
+    """(doc_id, text_hash, spans): for each document that loses any, spans (first << 32 | last) of sentences to remove.
+
+    One exchange by hash: a hash brings at most one row per block of runs,
+    however many places it has, so a passage of many documents is no hot key.
+    """
+    keyed = docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
+    rows = keyed.mapInArrow(_places, "certain boolean, key long, doc_id long, text_hash int, span long")
+    # rows alike in all of doc_id, text and span are one place and share the first rank
+    rank = F.rank().over(Window.partitionBy("certain", "key").orderBy("doc_id", "text_hash", "span"))
+    later = rows.withColumn("k", rank).filter("certain or k > 1")
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -97,19 +156,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def without(text, gone):
-        def one(t, g):
-            if t is None or g is None:
-                return t
-            lost = set(g)
-            return "".join(s for i, s in enumerate(sentences(t)) if i not in lost)
-
-        return pd.Series([one(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
-
-    gone = covered(docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
-    return joined.withColumn("text", without("text", "gone")).withColumn("__removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).select(*docs.columns, "__removed")
+    @pandas_udf("text string, removed long")
+    def without(text, spans):
+        def one(t, spans):
+            if t is None or spans is None:
+                return t, 0
+            lost = {i for s in spans for i in range(s >> 32, (s & _LOW) + 1)}
+            return "".join(s for i, s in enumerate(sentences(t)) if i not in lost), len(lost)
+
+        return pd.DataFrame([one(t, s) for t, s in zip(text, spans, strict=True)], columns=["text", "removed"])
+
+    names = docs.columns
+    gone = covered(docs).select(F.struct("doc_id", "text_hash").alias("__doc"), F.col("spans").alias("__spans"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.struct("doc_id", F.hash("text").alias("text_hash")).alias("__key"))
+    joined = own.join(gone, F.col("__key").eqNullSafe(F.col("__doc")), "left").withColumn("__new", without("__row.text", "__spans"))
+    return joined.select(*[(F.col("__new.text") if c == "text" else F.col("__row")[c]).alias(c) for c in names], F.col("__new.removed").alias("__removed"))
 
 
 def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,6 +235,27 @@ def test_spans_equal_plain_loop(docs, spark):
     assert sum(" ".join(passage.split()[10:60]) in t for t in kept) == 0 and all("Start number" in t for t in kept)
 
 
+@pytest.mark.parametrize("block", [1, 40, 1 << 20])
+def test_spans_across_blocks_and_odd_rows(spark, monkeypatch, block):
+    """Same result however runs are dealt; repeated rows, null ids, one id with two texts and clashing names."""
+    monkeypatch.setattr(spans, "BLOCK_RUNS", block)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(d, f"Own {d} begins here.\n{passage}\nAnd {d} ends.") for d in (7, 3, 3, 9, None, None)] + [(3, f"Another text.\n{passage}\n"), (5, passage + "\n" + passage), (6, None), (6, ""), (8, "short")]
+    df = spark.createDataFrame([(d, t, 1, 2, 3, 4, 5) for d, t in rows], "doc_id long, text string, gone int, spans int, __row int, key int, `a.b` int").repartition(4)
+    out = spans.deduplicated(df)
+    assert out.columns == [*df.columns, "__removed"]
+    rows_out = [(r[0], r[1], r[-1]) for r in out.collect()]
+    assert len(rows_out) == len(rows)
+    # the null id comes first and keeps the passage in both of its alike rows
+    for d, t, n in rows_out:
+        if d is None:
+            assert n == 0 and t.count("p35") == 1
+        elif d in (3, 5, 7, 9):
+            assert n > 0 and "p35" not in t
+        else:
+            assert n == 0 and t in (None, "", "short")
+
+
 def test_spans_of_short_sentences(spark):
     for size in range(1, 8):
         words = [f"verse{size}x{i}" for i in range(70)]
