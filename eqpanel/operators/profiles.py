@@ -144,8 +144,9 @@ def triple_barrier(plan: DataFrame, hold: int = 20) -> DataFrame:
     """Which is met first after entry on the next bar: target, stop or time.
 
     Bars are looked at from the first session a policy exit may fill (three after
-    entry). Needs entry_price, exit_stop and target_1. A bar touching both counts
-    as the stop.
+    entry). Needs exit_stop and target_1. A bar touching both counts as the stop.
+    With a column ``filled`` an entry that was not filled is NOT_FILLED, and
+    unlabelled where the attempt is still to come.
     """
     w = series_window()
     first, last = 4, hold + 1
@@ -157,7 +158,11 @@ def triple_barrier(plan: DataFrame, hold: int = 20) -> DataFrame:
         F.when(F.col("__hit").isNotNull(), F.when(F.col("__hit.l") <= F.col("exit_stop"), "STOP").otherwise("TARGET"))
         .when(F.col("__n").isNotNull(), "TIME")
     )
-    return d.select("symbol", "trading_date", label.alias("barrier"), F.col("__hit.k").alias("sessions"))
+    sessions = F.col("__hit.k")
+    if "filled" in plan.columns:
+        sessions = F.when(F.col("filled"), sessions)
+        label = F.when(F.col("filled"), label).when(~F.col("filled"), "NOT_FILLED")
+    return d.select("symbol", "trading_date", label.alias("barrier"), sessions.alias("sessions"))
 
 
 def rank_ic(factors: DataFrame, factor: str, outcome: str, symbols_bound: int | None = None) -> DataFrame:

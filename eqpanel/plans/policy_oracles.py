@@ -75,3 +75,17 @@ SELECT sha256('{"code":"' || code || '","symbol":"' || symbol || '","trading_dat
     oracle("c05_universe_with_gaps", gaps, f"""
 SELECT trading_date AS as_of, symbol, 'STRICT_PIT' AS mode, source, snap AS source_snapshot_id FROM sess JOIN uni u ON u.t IS NOT NULL AND trading_date BETWEEN u.f AND u.t
 UNION ALL SELECT as_of, symbol, 'CURRENT_UNIVERSE_PROXY', 'current-provider-membership', NULL FROM ({bare}), sec""")
+    oracle("l11_session_classes_by_master", chain(BARS, SESSIONS), """
+SELECT m.symbol, d.trading_date, CASE WHEN b.volume > 0 THEN 'TRADED' WHEN b.volume IS NOT NULL THEN 'NO_TRADE'
+    WHEN EXISTS (SELECT 1 FROM bars h WHERE h.symbol = m.symbol AND h.volume % 19 = 0 AND h.trading_date + 7 = d.trading_date) THEN 'SUSPENDED'
+    WHEN m.f IS NULL THEN 'UNKNOWN' WHEN d.trading_date < m.f THEN 'NOT_LISTED' ELSE 'PROVIDER_MISSING' END AS session_status
+FROM (SELECT symbol, CASE WHEN CAST(substr(symbol, 2) AS INT) % 6 <> 0 THEN min(trading_date) END AS f FROM bars GROUP BY 1
+      UNION ALL SELECT 'X' || n_nationkey, CASE WHEN n_nationkey % 3 <> 0 THEN DATE '1998-01-05' END FROM nation) m CROSS JOIN sess d
+LEFT JOIN bars b ON b.symbol = m.symbol AND b.trading_date = d.trading_date""")
+    oracle("l16_triple_barrier_filled", chain(FEAT, PLAN, NEXT), """
+SELECT symbol, trading_date, CASE WHEN f THEN CASE WHEN k IS NOT NULL THEN CASE WHEN lo <= exit_stop THEN 'STOP' ELSE 'TARGET' END WHEN has THEN 'TIME' END WHEN NOT f THEN 'NOT_FILLED' END AS barrier,
+  CASE WHEN f THEN k END AS sessions
+FROM (SELECT p.symbol, p.trading_date, any_value(p.exit_stop) AS exit_stop, any_value(p.n - p.rn >= 21) AS has, any_value(e.why IN ('open_better_than_limit', 'traded_through_limit')) AS f,
+        min(q.rn - p.rn) FILTER (q.low <= p.exit_stop OR q.high >= p.target_1) AS k, arg_min(q.low, q.rn) FILTER (q.low <= p.exit_stop OR q.high >= p.target_1) AS lo
+      FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM plan) p JOIN ent e USING (symbol, trading_date)
+      LEFT JOIN bars q ON q.symbol = p.symbol AND q.rn BETWEEN p.rn + 4 AND p.rn + 21 GROUP BY 1, 2)""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eqpanel.functions.series import rolling_means, series_window
 from eqpanel.operators import market as MK
+from eqpanel.operators import outcomes as O
 from eqpanel.operators import pit as PT
 from eqpanel.operators import policy as PO
 from eqpanel.operators import profiles as PR
@@ -132,3 +133,25 @@ def c05g(spark, sf):
 @query("c05_uncovered_with_gaps")
 def c05h(spark, sf):
     return PT.uncovered_dates(QQ._dates(spark, sf), _late_members(spark, sf), "IDX")
+
+
+@query("l11_session_classes_by_master")
+def l11m(spark, sf):
+    """Securities with and without bars, some without a listing date, some halted."""
+    b = D.bars(spark, sf, with_sector=False)
+    n = F.substring("symbol", 2, 9).cast("long")
+    known = b.groupBy("symbol").agg(F.min("trading_date").alias("d")).select("symbol", F.when(n % 6 != 0, F.col("d")).alias("listed_on"))
+    new = D.table(spark, sf, "nation").select(
+        F.concat(F.lit("X"), F.col("n_nationkey").cast("string")).alias("symbol"), F.when(F.col("n_nationkey") % 3 != 0, F.lit("1998-01-05")).cast("date").alias("listed_on")
+    )
+    halted = b.where("volume % 19 = 0").select("symbol", F.date_add("trading_date", 7).alias("trading_date")).distinct()
+    return Q.session_classes(b, D.sessions(b), known.unionByName(new), halted)
+
+
+@query("l16_triple_barrier_filled")
+def l16f(spark, sf):
+    """Only entries that were filled are labelled by a barrier."""
+    keys = ["symbol", "trading_date"]
+    p = SQ._plan(spark, sf).select(*keys, "high", "low", "exit_stop", "target_1")
+    a = O.label_entries(D.bars(spark, sf, with_sector=False)).select(*keys, (F.col("attempt_status") == "FILLED").alias("filled"))
+    return PR.triple_barrier(p.join(a, keys))
