@@ -12,6 +12,8 @@ Null and empty texts have no spans. Repeated rows each give their row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Candidate characters lie between "+" and "z".
+SLOT, SLOTS = ord("+"), ord("z") - ord("+") + 1
 #: Bits per character a window must exceed, by class.
 THRESHOLDS = {"hex": 3.0, "base64": 3.9}
 #: Identifiers that look random but open nothing: UUIDs, plain words and paths, integrity hashes.
@@ -53,31 +57,29 @@ def _places(text: Column, pattern: str) -> Column:
 
 
 def _peak(hit: Column) -> Column:
-    """Largest window entropy in bits, by one step of two counts per character."""
-    n = F.length(hit)
-
-    def plogp(c: Column) -> Column:
-        return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
-
-    def count(acc: Column, ch: Column) -> Column:
-        return F.coalesce(F.element_at(acc["counts"], F.ascii(ch) + 1), F.lit(0))
-
-    def moved(acc: Column, ch: Column, by: int) -> Column:
-        here = F.ascii(ch)
-        return F.transform(acc["counts"], lambda c, i: F.when(i == here, c + by).otherwise(c))
-
-    def put(acc: Column, ch: Column, by: int) -> Column:
-        old = count(acc, ch)
-        return F.struct(moved(acc, ch, by).alias("counts"), (acc["sum"] - plogp(old) + plogp(old + by)).alias("sum"), acc["best"].alias("best"))
-
-    def step(acc: Column, i: Column) -> Column:
-        entered = put(acc, F.substr(hit, i, F.lit(1)), 1)
-        left = F.when(i > WINDOW, put(entered, F.substr(hit, i - WINDOW, F.lit(1)), -1)).otherwise(entered)
-        best = F.when(i >= WINDOW, F.greatest(left["best"], F.log2(F.lit(float(WINDOW))) - left["sum"] / WINDOW)).otherwise(left["best"])
-        return F.struct(left["counts"].alias("counts"), left["sum"].alias("sum"), best.alias("best"))
-
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["best"])
+    """Largest window entropy in bits; each step changes two counts, whatever the length.
+
+    The counts, their sum of c * log2(c) and the best so far are bound by the fold,
+    and the characters of a step come from arrays made once, so that a step's
+    work depends on the number of classes only.
+    """
+    codes = F.transform(F.split(hit, ""), lambda c: F.ascii(c) - SLOT)
+    n = F.size(codes)
+    leaving = F.concat(F.array_repeat(F.lit(-1), WINDOW), F.slice(codes, F.lit(1), F.greatest(n - WINDOW, F.lit(0))))
+    steps = F.arrays_zip(codes.alias("new"), leaving.alias("old"), F.sequence(F.lit(1), n).alias("at"))
+    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+
+    def step(acc: Column, x: Column) -> Column:
+        new, old, counts = x["new"], x["old"], acc["counts"]
+        gain = F.get(weight, F.get(counts, new) + 1) - F.get(weight, F.get(counts, new))
+        loss = F.when(old >= 0, F.get(weight, F.get(counts, old)) - F.get(weight, F.get(counts, old) - 1)).otherwise(F.lit(0.0))
+        total = F.when(new == old, acc["sum"]).otherwise(acc["sum"] + gain - loss)
+        moved = F.transform(counts, lambda c, k: F.when(k == new, c + 1).when(k == old, c - 1).otherwise(c))
+        best = F.when(x["at"] >= WINDOW, F.greatest(acc["best"], F.lit(math.log2(WINDOW)) - total / WINDOW)).otherwise(acc["best"])
+        return F.struct(F.when(new == old, counts).otherwise(moved).alias("counts"), total.alias("sum"), best.alias("best"))
+
+    zero = F.struct(F.array_repeat(F.lit(0), SLOTS).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.aggregate(steps, zero, step, lambda acc: acc["best"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
