@@ -6,7 +6,7 @@ windows fit one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eqpanel.functions.checkpoints import checkpointed
@@ -29,18 +29,21 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return d.join(F.broadcast(m), "trading_date")  # one row per session
 
 
-def profiles(bars: DataFrame, sessions_per_year: int = 250, limit_move: float = 0.069) -> DataFrame:
-    """Volatility, beta, idiosyncratic share, liquidity, gaps, limit hits, variance ratio."""
+def profiles(bars: DataFrame, sessions_per_year: int = 250, limit_move: float = 0.069, by=("symbol",)) -> DataFrame:
+    """Volatility, beta, idiosyncratic share, liquidity, gaps, limit hits, variance ratio.
+
+    ``by`` may add a period of the bars to the symbol; returns still reach back over its start.
+    """
     d = with_returns(bars)
     w = series_window()
     down = F.coalesce(F.col("r") <= -limit_move, F.lit(False))
     # consecutive limit-down sessions share the count of other sessions before them
     d = d.withColumns({"down": down, "isle": F.count_if(~down).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    streak = d.where("down").groupBy("symbol", "isle").count().groupBy("symbol").agg(F.max("count").alias("max_floor_streak"))
-    five = d.where("r IS NOT NULL").groupBy("symbol", F.expr("(n - 2) div 5").alias("b")).agg(
+    streak = d.where("down").groupBy(*by, "isle").count().groupBy(*by).agg(F.max("count").alias("max_floor_streak"))
+    five = d.where("r IS NOT NULL").groupBy(*by, F.expr("(n - 2) div 5").alias("b")).agg(
         F.sum(F.log1p("r")).alias("x"), F.count("r").alias("k")
-    ).where("k = 5").groupBy("symbol").agg(F.var_samp("x").alias("v5"))
-    agg = d.groupBy("symbol").agg(
+    ).where("k = 5").groupBy(*by).agg(F.var_samp("x").alias("v5"))
+    agg = d.groupBy(*by).agg(
         (F.stddev_samp("r") * float(sessions_per_year) ** 0.5).alias("vol_annual"),
         (F.covar_samp("r", "m") / F.nullif(F.var_samp(F.when(F.col("r").isNotNull(), F.col("m"))), F.lit(0.0))).alias("beta"),
         (1 - F.pow(F.corr("r", "m"), 2)).alias("idio_share"),
@@ -49,15 +52,20 @@ def profiles(bars: DataFrame, sessions_per_year: int = 250, limit_move: float =
         F.percentile(F.abs("gap"), F.lit(0.5)).alias("gap_median"), F.percentile(F.abs("gap"), F.lit(0.9)).alias("gap_p90"),
         F.avg((F.abs("r") >= limit_move).cast("int")).alias("limit_hit_freq"), F.var_samp(F.log1p("r")).alias("v1"),
     )
-    d = agg.join(streak, "symbol", "left").join(five, "symbol", "left")
+    d = agg.join(streak, list(by), "left").join(five, list(by), "left")
     return d.select(
         *agg.columns[:-1], F.coalesce("max_floor_streak", F.lit(0)).alias("max_floor_streak"),
         (F.col("v5") / F.nullif(5 * F.col("v1"), F.lit(0.0))).alias("variance_ratio_5"),
     )
 
 
-def archetypes(stats: DataFrame, adv_floor: float, adv_large: float) -> DataFrame:
-    """Decision tree over the measured profile; every row carries its reason."""
+def archetypes(stats: DataFrame, adv_floor: float, adv_large: float, overrides: DataFrame | None = None, by=("symbol",)) -> DataFrame:
+    """Decision tree over the measured profile; every row carries its reason and all tags that apply.
+
+    ``overrides(symbol, override, override_reason)`` names securities whose sector
+    explains them better than their statistics do; exclusions still come first.
+    The tags are the archetypes of every rule met, the override among them.
+    """
     adv, vol, beta, vr = F.col("adv_value"), F.col("vol_annual"), F.col("beta"), F.col("variance_ratio_5")
     hits, streak, gap = F.col("limit_hit_freq"), F.col("max_floor_streak"), F.col("gap_p90")
     tree = [
@@ -71,11 +79,27 @@ def archetypes(stats: DataFrame, adv_floor: float, adv_large: float) -> DataFram
         ((vr > 1.15) & (adv >= adv_large) & (vol < 0.38), "LARGE_CAP", "trending and liquid"),
         ((vr < 0.85) & (vol < 0.33), "DEFENSIVE", "mean-reverting and calm"),
     ]
-    pick = F.coalesce(
-        *[F.when(c, F.struct(F.lit(a).alias("a"), F.lit(r).alias("r"))) for c, a, r in tree],
-        F.struct(F.lit("SPECULATIVE").alias("a"), F.lit("no clear signature; assigned conservatively").alias("r")),
-    )
-    return stats.select("symbol", pick["a"].alias("archetype"), pick["r"].alias("archetype_reason"))
+    if overrides is not None:
+        stats = stats.join(overrides.select("symbol", "override", "override_reason"), "symbol", "left")
+        tree.insert(3, (F.col("override").isNotNull(), F.col("override"), F.col("override_reason")))
+    text = lambda v: v if isinstance(v, Column) else F.lit(v)
+    met = [F.when(c, F.struct(text(a).alias("a"), text(r).alias("r"))) for c, a, r in tree]
+    rest = F.struct(F.lit("SPECULATIVE").alias("a"), F.lit("no clear signature; assigned conservatively").alias("r"))
+    pick = F.coalesce(*met, rest)
+    tags = F.array_sort(F.array_distinct(F.transform(F.array_compact(F.array(*met)), lambda m: m["a"])))
+    return stats.select(*by, pick["a"].alias("archetype"), pick["r"].alias("archetype_reason"), F.when(F.size(tags) > 0, tags).otherwise(F.array(pick["a"])).alias("tags"))
+
+
+def archetype_stability(assigned: DataFrame, period: str, least: float = 0.60) -> DataFrame:
+    """Per period: securities classified before too, the share that kept its archetype, and whether that is too few.
+
+    ``assigned``: symbol, period (consecutive whole numbers) and archetype. Periods
+    in which no security has a predecessor are absent.
+    """
+    w = Window.partitionBy("symbol").orderBy(period)
+    d = assigned.withColumns({"__p": F.lag("archetype").over(w), "__q": F.lag(period).over(w)}).where(F.col("__q") == F.col(period) - 1)
+    share = F.avg((F.col("archetype") == F.col("__p")).cast("int"))
+    return d.groupBy(period).agg(F.count(F.lit(1)).alias("securities"), share.alias("stability"), (share < least).alias("unstable"))
 
 
 def trend_transitions(bars: DataFrame, least: int = 200) -> DataFrame:

@@ -89,3 +89,21 @@ FROM (SELECT p.symbol, p.trading_date, any_value(p.exit_stop) AS exit_stop, any_
         min(q.rn - p.rn) FILTER (q.low <= p.exit_stop OR q.high >= p.target_1) AS k, arg_min(q.low, q.rn) FILTER (q.low <= p.exit_stop OR q.high >= p.target_1) AS lo
       FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM plan) p JOIN ent e USING (symbol, trading_date)
       LEFT JOIN bars q ON q.symbol = p.symbol AND q.rn BETWEEN p.rn + 4 AND p.rn + 21 GROUP BY 1, 2)""")
+    oracle("l08_archetypes_with_overrides", chain(BARS, RET, STATS), """
+SELECT symbol, CASE WHEN NOT ex AND bank THEN 'BANK' ELSE archetype END AS archetype, CASE WHEN NOT ex AND bank THEN 'banking sector' ELSE archetype_reason END AS archetype_reason,
+  CASE WHEN len(t) > 0 THEN array_to_string(list_sort(list_distinct(t)), ',') ELSE archetype END AS tags
+FROM (SELECT *, list_filter([CASE WHEN ex THEN 'EXCLUDED' END, CASE WHEN bank THEN 'BANK' END, CASE WHEN vol_annual < 0.28 AND beta < 0.85 AND limit_hit_freq < 0.02 THEN 'DEFENSIVE' END,
+      CASE WHEN beta > 1.25 AND vol_annual > 0.38 THEN 'HIGH_BETA' END, CASE WHEN vol_annual > 0.45 OR limit_hit_freq > 0.05 OR max_floor_streak >= 3 THEN 'SPECULATIVE' END,
+      CASE WHEN adv_value > 18e6 AND vol_annual < 0.35 THEN 'LARGE_CAP' END, CASE WHEN variance_ratio_5 > 1.15 AND adv_value >= 9e6 AND vol_annual < 0.38 THEN 'LARGE_CAP' END,
+      CASE WHEN variance_ratio_5 < 0.85 AND vol_annual < 0.33 THEN 'DEFENSIVE' END], lambda x: x IS NOT NULL) AS t
+  FROM (SELECT *, adv_value < 5e6 OR max_floor_streak >= 5 OR gap_p90 > 0.045 AS ex, CAST(substr(symbol, 2) AS INT) % 7 = 0 AS bank FROM stats JOIN arch USING (symbol)))""")
+    yearly = STATS.replace("SELECT symbol, count(*) AS k FROM (", "SELECT symbol, year, count(*) AS k FROM (").replace("GROUP BY symbol, i),", "GROUP BY symbol, year, i),")
+    yearly = yearly.replace("  SELECT symbol, coalesce(r <= -0.069, false) AS dn", "  SELECT symbol, year, coalesce(r <= -0.069, false) AS dn")
+    yearly = yearly.replace("SELECT symbol, var_samp(x) AS v5", "SELECT symbol, year, var_samp(x) AS v5").replace("SELECT symbol, (rn - 2) // 5 AS b", "SELECT symbol, year, (rn - 2) // 5 AS b")
+    yearly = yearly.replace("GROUP BY 1, 2 HAVING count(*) = 5) GROUP BY 1)", "GROUP BY 1, 2, 3 HAVING count(*) = 5) GROUP BY 1, 2)")
+    yearly = yearly.replace("SELECT symbol, stddev_samp(r)", "SELECT symbol, year, stddev_samp(r)").replace("i.symbol = ret.symbol)", "i.symbol = ret.symbol AND i.year = ret.year)")
+    yearly = yearly.replace("f.symbol = ret.symbol)", "f.symbol = ret.symbol AND f.year = ret.year)").replace("FROM ret GROUP BY symbol)", "FROM ret GROUP BY symbol, year)")
+    yearly = yearly.replace("SELECT symbol, CASE WHEN adv_value < 5e6", "SELECT symbol, year, CASE WHEN adv_value < 2e6").replace("18e6", "8e6").replace("9e6", "4e6")
+    oracle("l08_archetype_stability", chain(BARS, RET.replace("SELECT *, avg(r)", "SELECT *, year(trading_date) AS year, avg(r)"), yearly), """
+SELECT a.year, count(*) AS securities, avg((a.archetype = b.archetype)::INT) AS stability, avg((a.archetype = b.archetype)::INT) < 0.60 AS unstable
+FROM arch a JOIN arch b ON b.symbol = a.symbol AND b.year = a.year - 1 GROUP BY 1""")

@@ -155,3 +155,20 @@ def l16f(spark, sf):
     p = SQ._plan(spark, sf).select(*keys, "high", "low", "exit_stop", "target_1")
     a = O.label_entries(D.bars(spark, sf, with_sector=False)).select(*keys, (F.col("attempt_status") == "FILLED").alias("filled"))
     return PR.triple_barrier(p.join(a, keys))
+
+
+@query("l08_archetypes_with_overrides")
+def l08o(spark, sf):
+    """Every seventh security belongs to a group that a sector explains."""
+    stats = PR.profiles(D.bars(spark, sf, with_sector=False))
+    n = F.substring("symbol", 2, 9).cast("long")
+    groups = stats.select("symbol").where(n % 7 == 0).select("symbol", F.lit("BANK").alias("override"), F.lit("banking sector").alias("override_reason"))
+    return PR.archetypes(stats, 5e6, 9e6, groups).withColumn("tags", F.concat_ws(",", "tags"))
+
+
+@query("l08_archetype_stability", "stability:8")
+def l08s(spark, sf):
+    """Year on year, as the panel is weekly."""
+    b = D.bars(spark, sf, with_sector=False).withColumn("year", F.year("trading_date"))
+    by = ["symbol", "year"]
+    return PR.archetype_stability(PR.archetypes(PR.profiles(b, by=by), 2e6, 4e6, by=by), "year")

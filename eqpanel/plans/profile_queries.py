@@ -32,7 +32,7 @@ def l04(spark, sf):
 
 @query("l08_archetypes")
 def l08(spark, sf):
-    return PR.archetypes(PR.profiles(_bars(spark, sf)), 5e6, 9e6)
+    return PR.archetypes(PR.profiles(_bars(spark, sf)), 5e6, 9e6).drop("tags")
 
 
 @query("l10_selection", "composite:8 score win_probability")
