@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eqpanel import params as P
 from eqpanel.functions.series import ewm
 from eqpanel.operators import policy as PO
+from eqpanel.operators import profiles as PR
 from eqpanel.operators import quality as Q
 from eqpanel.operators import research as R
 from eqpanel.operators import risk as RK
@@ -139,3 +140,33 @@ def test_deciles_and_ratios(spark):
     assert r["g"].max_drawdown == pytest.approx(-0.5) and r["g"].calmar == pytest.approx(r["g"].cagr / 0.5)
     assert r["up"].calmar is None and r["up"].information_ratio == pytest.approx(0.15 / 0.0707106781 * 250**0.5)
     assert V.max_drawdown(d, ["g"], ["trading_date"], "ret").count() == 2
+
+
+def test_silent_and_unknown_securities(spark):
+    days = [DAY + dt.timedelta(i) for i in range(3)]
+    bars = spark.createDataFrame([("A", days[1], 5), ("U", days[0], 0)], "symbol string, trading_date date, volume long")
+    cal = spark.createDataFrame([(d, i + 1) for i, d in enumerate(days)], "trading_date date, session_no int")
+    master = spark.createDataFrame([("A", days[1]), ("S", days[2]), ("N", None)], "symbol string, listed_on date")
+    halted = spark.createDataFrame([("S", days[2])], "symbol string, trading_date date")
+    got = {(r.symbol, (r.trading_date - DAY).days): r.session_status for r in Q.session_classes(bars, cal, master, halted).collect()}
+    want = {("A", 0): "NOT_LISTED", ("A", 1): "TRADED", ("A", 2): "PROVIDER_MISSING", ("U", 0): "NO_TRADE", ("U", 1): "UNKNOWN", ("U", 2): "UNKNOWN"}
+    assert got == want | {("S", 0): "NOT_LISTED", ("S", 1): "NOT_LISTED", ("S", 2): "SUSPENDED"} | {("N", i): "UNKNOWN" for i in range(3)}
+
+
+def test_overrides_tags_and_stability(spark):
+    cols = "symbol string, adv_value double, vol_annual double, beta double, variance_ratio_5 double, limit_hit_freq double, max_floor_streak long, gap_p90 double"
+    rows = [("calm", 50.0, 0.2, 0.5, 1.0, 0.0, 0, 0.01), ("bank", 50.0, 0.2, 0.5, 1.0, 0.0, 0, 0.01), ("thin", 1.0, 0.2, 0.5, 1.0, 0.0, 0, 0.01), ("none", 11.0, 0.36, 1.0, 1.0, 0.03, 0, 0.01), ("odd", None, None, None, None, None, None, None)]
+    o = spark.createDataFrame([("bank", "BANK", "banking sector"), ("thin", "BANK", "banking sector")], "symbol string, override string, override_reason string")
+    got = {r.symbol: r for r in PR.archetypes(spark.createDataFrame(rows, cols), 10.0, 20.0, o).collect()}
+    assert {k: r.archetype for k, r in got.items()} == {"calm": "DEFENSIVE", "bank": "BANK", "thin": "EXCLUDED", "none": "SPECULATIVE", "odd": "SPECULATIVE"}
+    assert got["bank"].tags == ["BANK", "DEFENSIVE", "LARGE_CAP"] and got["thin"].tags == ["BANK", "DEFENSIVE", "EXCLUDED"] and got["none"].tags == ["SPECULATIVE"]
+    assert all(len(r.archetype_reason) > 10 for r in got.values())
+    a = spark.createDataFrame([("x", 1, "A"), ("x", 2, "A"), ("x", 4, "A"), ("y", 1, "A"), ("y", 2, "B"), ("z", 2, "A")], "symbol string, q int, archetype string")
+    assert [tuple(r) for r in PR.archetype_stability(a, "q").collect()] == [(2, 2, 0.5, True)]
+
+
+def test_barriers_of_filled_entries_only(spark):
+    rows = [("A", DAY + dt.timedelta(i), 10.0 if i != 5 else 30.0, 9.0, 5.0, 20.0, [True, False, None][i] if i < 3 else None) for i in range(40)]
+    d = spark.createDataFrame(rows, "symbol string, trading_date date, high double, low double, exit_stop double, target_1 double, filled boolean")
+    got = [tuple(r)[2:] for r in PR.triple_barrier(d).orderBy("trading_date").limit(3).collect()]
+    assert got == [("TARGET", 5), ("NOT_FILLED", None), (None, None)]
