@@ -30,12 +30,17 @@ def round_down_to_tick(price: Column, rules=P.TICK_RULES) -> Column:
     return (units * tick).cast("double")
 
 
-def floor_price(reference: Column, band: float = P.PRICE_BAND) -> Column:
-    return round_down_to_tick(reference * F.lit(1 - band))
+def venue_band(venue: Column, bands=P.VENUE_BANDS) -> Column:
+    """Daily price band of a venue; null for one that is not listed."""
+    return F.coalesce(*[F.when(F.upper(F.trim(venue)) == v, F.lit(b)) for v, b in bands.items()])
 
 
-def ceiling_price(reference: Column, band: float = P.PRICE_BAND) -> Column:
-    return round_down_to_tick(reference * F.lit(1 + band))
+def floor_price(reference: Column, band: float | Column = P.PRICE_BAND) -> Column:
+    return round_down_to_tick(reference * (1 - band if isinstance(band, Column) else F.lit(1 - band)))
+
+
+def ceiling_price(reference: Column, band: float | Column = P.PRICE_BAND) -> Column:
+    return round_down_to_tick(reference * (1 + band if isinstance(band, Column) else F.lit(1 + band)))
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from eqpanel.plans.profile_oracles import RET, STATS
 from eqpanel.plans.quality_oracles import CANON, INTERVALS, SESSIONS, SIMPLE
 from eqpanel.plans.registry import ORACLES, oracle
 from eqpanel.plans.research_oracles import TRADES
-from eqpanel.plans.signal_oracles import NEXT, PLAN, _taken
+from eqpanel.plans.signal_oracles import NEXT, PLAN, _taken, down
 
 FAMILY = "CASE WHEN signal_pullback THEN 'PULLBACK' WHEN signal_reversal THEN 'REVERSAL' WHEN trend_confirmed THEN 'MOMENTUM' END"
 
@@ -107,3 +107,11 @@ FROM (SELECT *, list_filter([CASE WHEN ex THEN 'EXCLUDED' END, CASE WHEN bank TH
     oracle("l08_archetype_stability", chain(BARS, RET.replace("SELECT *, avg(r)", "SELECT *, year(trading_date) AS year, avg(r)"), yearly), """
 SELECT a.year, count(*) AS securities, avg((a.archetype = b.archetype)::INT) AS stability, avg((a.archetype = b.archetype)::INT) < 0.60 AS unstable
 FROM arch a JOIN arch b ON b.symbol = a.symbol AND b.year = a.year - 1 GROUP BY 1""")
+    by_venue = "CASE CAST(substr(symbol, 2) AS INT) % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} END"
+    oracle("g11_venue_bands", BARS, f"""
+SELECT symbol, trading_date, {by_venue.format(*[down(f'close * {1 - b}') for b in (0.07, 0.10, 0.15)])} AS floor_price,
+  {by_venue.format(*[down(f'close * {1 + b}') for b in (0.07, 0.10, 0.15)])} AS ceiling_price FROM bars""")
+    oracle("g04_g14_snapshot_ids", BARS, """
+SELECT symbol, year, 'p1-' || substr(sha256(sha256(symbol || ':' || year) || '|{"symbol":"' || symbol || '","year":"' || year || '"}'), 1, 24) AS snapshot_id, true AS order_free
+FROM (SELECT DISTINCT symbol, CAST(year(trading_date) AS VARCHAR) AS year FROM bars)""")
+    oracle("f05_largest_moves", chain(BARS, RET), "SELECT symbol, trading_date, r FROM ret WHERE r IS NOT NULL ORDER BY abs(r) DESC, symbol, trading_date LIMIT 10")

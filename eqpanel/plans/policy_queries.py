@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eqpanel.functions import rules as RU
 from eqpanel.functions.series import rolling_means, series_window
 from eqpanel.operators import market as MK
 from eqpanel.operators import outcomes as O
@@ -19,6 +20,7 @@ from eqpanel.plans import signal_queries as SQ
 from eqpanel.plans.registry import query
 from eqpanel.plans.research_queries import _trades
 from eqpanel.sources import derived as D
+from eqpanel.sources import payloads as PL
 
 
 def _family():
@@ -172,3 +174,28 @@ def l08s(spark, sf):
     b = D.bars(spark, sf, with_sector=False).withColumn("year", F.year("trading_date"))
     by = ["symbol", "year"]
     return PR.archetype_stability(PR.archetypes(PR.profiles(b, by=by), 2e6, 4e6, by=by), "year")
+
+
+@query("g11_venue_bands", "floor_price:2 ceiling_price:2")
+def g11(spark, sf):
+    """Floor and ceiling under the band of each security's venue; an unknown venue has none."""
+    n, c = F.substring("symbol", 2, 9).cast("long") % 4, F.col("close").cast("double")
+    venue = F.element_at(F.array(F.lit("HOSE"), F.lit(" hnx"), F.lit("UPCOM"), F.lit("OTC")), (n + 1).cast("int"))
+    d = D.bars(spark, sf, with_sector=False).withColumn("band", RU.venue_band(venue))
+    return d.select("symbol", "trading_date", RU.floor_price(c, F.col("band")).alias("floor_price"), RU.ceiling_price(c, F.col("band")).alias("ceiling_price"))
+
+
+@query("g04_g14_snapshot_ids")
+def g04(spark, sf):
+    """Ids of snapshots by payload and request; the order of the request's fields does not matter."""
+    d = D.bars(spark, sf, with_sector=False).select("symbol", F.year("trading_date").cast("string").alias("year")).distinct()
+    payload, year, symbol = F.concat("symbol", F.lit(":"), "year"), (F.lit("year"), F.col("year")), (F.lit("symbol"), F.col("symbol"))
+    ids = [PL.snapshot_id(F.lit("p1"), payload, F.create_map(*a, *b)) for a, b in ((year, symbol), (symbol, year))]
+    return d.select("symbol", "year", ids[0].alias("snapshot_id"), (ids[0] == ids[1]).alias("order_free"))
+
+
+@query("f05_largest_moves", "r:8")
+def f05(spark, sf):
+    """A report of ten rows: the largest moves of the panel."""
+    d = PR.with_returns(D.bars(spark, sf, with_sector=False)).where("r IS NOT NULL")
+    return d.orderBy(F.abs("r").desc(), "symbol", "trading_date").limit(10).select("symbol", "trading_date", "r")
