@@ -1,11 +1,11 @@
 """Personal data: patterns, and terms that disclose it.
 
 Patterns give the protected entities. A term is a word that stands on a line
-with an entity, near it. From the whole corpus: in how many places a term
-stands with an entity, and in how many lines it stands at all. The share of a
-term's lines that show one same entity is how strongly it reveals that entity;
-a term above ``DISCLOSURE`` with at least ``SUPPORT`` lines is removed or, where
-it holds digits, generalised to its shape.
+with an entity, near it. Over the lines of the whole corpus it is counted how
+often a term stands with an entity, how often each stands at all, and so how
+many bits the term tells about the entity (pointwise mutual information) and
+which share of its lines show that entity. Terms above both thresholds are
+removed or, where they hold digits, generalised to their shape.
 
 Null and empty texts have no spans. Repeated rows count, and are answered, each.
 The terms found are broadcast up to ``BROADCAST_TERMS``; beyond that a join
@@ -27,7 +27,10 @@ from eqpanel.llm.common import SLICE_ROWS, each_row, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 NEAR = 40
-SUPPORT, DISCLOSURE = 5, 0.5
+#: Lines a term must share with one entity, the share of its own lines that is, and the bits it must tell.
+SUPPORT, DISCLOSURE, BITS = 2, 0.8, 2.0
+#: Stands for "any line" among the counts; no word can be it.
+LINE = "\n"
 BROADCAST_TERMS = 50_000
 TASK_TERMS = 200_000
 _RIGHT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -76,36 +79,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _near_terms(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[str, int]]:
-    """(term, entity) pairs: words within ``NEAR`` characters of an entity, on its line."""
+def _near_terms(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[int, str, int]]:
+    """(line, term, entity): words within ``NEAR`` characters of an entity, on its line; and the entity itself as ``LINE``."""
     out = set()
     for kind, s, e in spans:
         who = int.from_bytes(hashlib.blake2b(f"{kind}:{text[s:e]}".encode(), digest_size=8).digest(), "big", signed=True)
-        a = max(s - NEAR, text.rfind("\n", 0, s) + 1)
+        line = text.rfind("\n", 0, s) + 1
+        out.add((line, LINE, who))
+        a = max(s - NEAR, line)
         stop = text.find("\n", e)
         b = min(e + NEAR, stop if stop >= 0 else len(text))
         for m in _WORD.finditer(text, a, b):
             edge = m.start() == a and a > 0 and text[a - 1].isalnum() or m.end() == b and b < len(text) and text[b].isalnum()
             if not edge and not any(x < m.end() and m.start() < y for _, x, y in spans):
-                out.add((m[0].lower(), who))
+                out.add((line, m[0].lower(), who))
     return out
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
-    """(term) that reveal an entity, from counts over all documents."""
+    """(term) that reveal an entity, from counts of lines over all documents.
+
+    A term is named when, for one entity, it stands near it on ``SUPPORT`` lines,
+    on at least ``DISCLOSURE`` of all its own lines, and that tells at least
+    ``BITS`` bits: log2 of P(entity | term) over P(entity).
+    """
 
     def pairs():
         def row(text):
-            text = text or ""
-            spans = base_spans(text)
-            return _near_terms(text, spans) if spans else ()
+            spans = base_spans(text) if text else ()
+            return [(term, who) for _, term, who in _near_terms(text, spans)] if spans else ()
 
         return row
 
-    together = each_row(docs, ["text"], pairs, "term string, who long").groupBy("term", "who").count().filter(F.col("count") >= SUPPORT)
-    candidates = checkpointed(together.groupBy("term").agg(F.max("count").alias("shown")))
+    together = checkpointed(each_row(docs, ["text"], pairs, "term string, who long").groupBy("term", "who").agg(F.count("*").alias("shown")))
+    entities = together.filter(F.col("term") == LINE).select("who", F.col("shown").alias("lines_of"))
+    near = together.filter((F.col("term") != LINE) & (F.col("shown") >= SUPPORT))
+    candidates = checkpointed(near.select("term").distinct())
     if candidates.isEmpty():
-        return candidates.select("term")
+        return candidates
 
     def counts(batches):
         seen: Counter = Counter()
@@ -118,13 +129,20 @@ def disclosing(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    seen.update(set(_WORD.findall((text or "").lower())))
+                    for line in (text or "").lower().split("\n"):
+                        seen[LINE] += 1
+                        seen.update(set(_WORD.findall(line)))
                     if len(seen) > TASK_TERMS:
                         yield flush()
         yield flush()
 
-    everywhere = docs.select("text").mapInArrow(counts, "term string, n long").join(candidates, "term", "leftsemi").groupBy("term").agg(F.sum("n").alias("n"))
-    return checkpointed(candidates.join(everywhere, "term").filter(F.col("shown") >= DISCLOSURE * F.col("n")).select("term"))
+    asked = candidates.unionByName(docs.sparkSession.range(1).select(F.lit(LINE).alias("term")))
+    everywhere = checkpointed(docs.select("text").mapInArrow(counts, "term string, n long").join(asked, "term", "leftsemi").groupBy("term").agg(F.sum("n").alias("n")))
+    lines = everywhere.filter(F.col("term") == LINE).select(F.col("n").alias("lines"))  # one row
+    judged = near.join(everywhere, "term").join(entities, "who").join(F.broadcast(lines))
+    share = F.col("shown") / F.col("n")
+    told = F.log2(share * F.col("lines") / F.col("lines_of"))
+    return checkpointed(judged.filter((share >= DISCLOSURE) & (told >= BITS)).select("term").distinct())
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, frozenset]:

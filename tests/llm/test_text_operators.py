@@ -291,6 +291,22 @@ def test_sentences_join_to_the_text(docs):
         assert "".join(spans.sentences(x or "")) == (x or "")
 
 
+def test_secrets_in_long_candidates(spark):
+    """One step of work per character: a long blob is judged like a short key, by the same windows."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rng = np.random.default_rng(9)
+    say = lambda n, k: "".join(rng.choice(list(alphabet[-k:]), n))
+    rows = [(i, f"x {say(n, k)} y") for i, (n, k) in enumerate([(20, 64), (21, 12), (300, 64), (300, 12), (5000, 12), (5000, 14), (40_000, 64)])]
+    want = {}
+    for d, t in rows:
+        c = t[2:-2]
+        peak = max(math.log2(20) - sum(v * math.log2(v) for v in Counter(c[i : i + 20]).values()) / 20 for i in range(len(c) - 19))
+        limit = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]+", c) else "base64"]
+        want[d] = peak > limit and not re.search(secrets.ALLOW.replace("(?i)example", "[eE][xX][aA][mM][pP][lL][eE]"), c)
+    got = {r.doc_id: "entropy:2:" in r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_pii_base(docs):
     rows, df = docs
     found = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -326,6 +342,41 @@ def test_pii_terms(spark, monkeypatch):
     assert Counter(tuple(r) for r in pii.clean_rows(df).collect()) == want
 
 
+def test_pii_terms_against_plain_counts(spark, docs):
+    """Terms by counting lines in a loop: support of two, share, bits; a hot entity tells little."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i:03}" for i in range(60)]
+    rows = [(d, t) for d, t in docs[0] if t and len(t) < 3000][:120]
+    for i in range(400):
+        lines = [" ".join(rng.choice(words, 8)) for _ in range(3)]
+        who = int(rng.integers(0, 40))
+        if who < 25:
+            lines[1] = f"call secret{who % 12} name{who} at p{who % 20}@corp.example {rng.choice(words)}"
+        elif i % 3 == 0:
+            lines[2] = f"support desk helpful{i % 2} hot@corp.example today"
+        rows.append((50_000 + i, "\n".join(lines)))
+    shown, every, of, total = Counter(), Counter(), Counter(), 0
+    for _, text in rows:
+        base = pii.base_spans(text)
+        at = {}
+        for line, term, who in pii._near_terms(text, base):
+            at.setdefault((line, who), set()).add(term)
+        for (_, who), terms in at.items():
+            for term in terms:
+                (of if term == pii.LINE else shown)[who if term == pii.LINE else (term, who)] += 1
+        for line in text.lower().split("\n"):
+            total += 1
+            every.update(set(re.findall(r"[^\W_]{4,}", line)))
+    want = {
+        t for (t, w), n in shown.items()
+        if n >= 2 and n / every[t] >= 0.8 and math.log2(n / every[t] * total / of[w]) >= 2.0
+    }
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.term for r in pii.disclosing(df).collect()} == want
+    assert any(t.startswith("name") for t in want) and not {"call", "word001"} & want
+    assert pii.disclosing(df.limit(0)).count() == 0
+
+
 def test_urls(spark):
     rows = [(0, None), (1, "no scheme/fr/"), (2, "HTTP://A.ORG/x?y://b"), (3, "http://www.example.org/es/1"), (4, "http://example.org/en/12#t"), (5, "http://badexample.org/es/"), (6, "http://x.com/de/"), (7, "http://x.com"), (8, "http://org"), (2, "HTTP://A.ORG/x?y://b"), (None, "")]
     rows += [(100 + i, f"http://site{i}.example.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(60)]
