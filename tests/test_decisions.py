@@ -236,3 +236,20 @@ def test_label_guard(spark):
     bad = spark.createDataFrame([("historical idx", "CURRENT_UNIVERSE_PROXY", "STRICT_PIT")], cols)
     with pytest.raises(Exception, match="STRICT_PIT"):
         govern_results(bad, "idx").collect()
+
+
+def test_rounds_fold_many_acceptances_at_once(spark, monkeypatch):
+    """A key's acceptances take one short fold, not two stored tables each; prefixes of any length agree."""
+    rng = random.Random(5)
+    rows = [(f"S{i}", f"X{i % 5}", f"g{i}", float(rng.randrange(20000, 60000, 50)), None, 1e6, "STRONG_BULL") for i in range(80)]
+    rows = [(s, x, g, e, e * 0.9, *rest) for s, x, g, e, _, *rest in rows]
+    want = [(d.status, d.quantity) for d in size(spark, rows, [], 100, 6e8, 6e6)]
+    assert sum(w[0] != "REJECTED" for w in want) > 5
+    stored, real = [], RK.checkpointed
+    monkeypatch.setattr(RK, "checkpointed", lambda d: stored.append(1) or real(d))
+    for prefix in (P.FOLD_PREFIX, 3, 1):
+        monkeypatch.setattr(P, "FOLD_PREFIX", prefix)
+        stored.clear()
+        assert [(d.status, d.quantity) for d in size(spark, rows, [], P.MAX_FOLD_GROUP + 1, 6e8, 6e6)] == want
+        assert prefix < 10 or len(stored) <= 6
+    assert size(spark, [], [], P.MAX_FOLD_GROUP + 1, 6e8, 6e6) == []
