@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eqpanel.functions import rules as RU
+from eqpanel.functions.checkpoints import checkpointed
 from eqpanel.functions.series import rolling_means, series_window
 from eqpanel.operators import market as MK
 from eqpanel.operators import outcomes as O
@@ -92,15 +93,20 @@ def l27(spark, sf):
 @query("l28_published_fractions", "notional_nav:8 estimated_loss_nav:8")
 def l28(spark, sf):
     """Decisions of every account without amounts."""
-    d = SQ.h03(spark, sf).join(F.broadcast(SQ._accounts(spark, sf).select("account", "equity")), "account")  # a handful of segments
+    return _published(spark, sf, SQ.h03(spark, sf))
+
+
+def _published(spark, sf, decisions: DataFrame) -> DataFrame:
+    d = decisions.join(F.broadcast(SQ._accounts(spark, sf).select("account", "equity")), "account")  # a handful of segments
     return PO.nav_fractions(d, "equity", ["notional", "estimated_loss"], ["account", "trading_date", "symbol", "status"])
 
 
 @query("l28_privacy_scan")
 def l28s(spark, sf):
     """The same before and after: what a scan of both finds."""
-    d = SQ.h03(spark, sf).select("account", "symbol", "status", "quantity", "notional", "estimated_loss")
-    after = l28(spark, sf)
+    decisions = SQ.h03(spark, sf).select("account", "trading_date", "symbol", "status", "quantity", "notional", "estimated_loss")
+    decisions = checkpointed(decisions)  # scanned before and after
+    d, after = decisions.drop("trading_date"), _published(spark, sf, decisions)
     parts = [PO.privacy_problems(x).select(F.lit(n).alias("table"), "column", "problem") for n, x in (("before", d), ("after", after))]
     return parts[0].unionByName(parts[1])
 

@@ -170,3 +170,12 @@ def test_barriers_of_filled_entries_only(spark):
     d = spark.createDataFrame(rows, "symbol string, trading_date date, high double, low double, exit_stop double, target_1 double, filled boolean")
     got = [tuple(r)[2:] for r in PR.triple_barrier(d).orderBy("trading_date").limit(3).collect()]
     assert got == [("TARGET", 5), ("NOT_FILLED", None), (None, None)]
+
+
+def test_privacy_scan_sizes_once(spark, sf, monkeypatch):
+    from eqpanel.plans.catalog import QUERIES
+
+    calls, real = [], RK.approve
+    monkeypatch.setattr(RK, "approve", lambda *a: calls.append(1) or real(*a))
+    assert QUERIES["l28_privacy_scan"].run(spark, sf).count() > 0
+    assert len(calls) == 1
