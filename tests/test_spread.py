@@ -25,3 +25,7 @@ def _same(spark, sf, name):
 
 def test_series_are_dealt_out_by_the_number_of_symbols(spark, sf, many_symbols):
     assert _same(spark, sf, "panel_bars").rdd.getNumPartitions() == many_symbols
+
+
+def test_ranks_sort_narrow_rows(spark, sf, many_symbols):
+    assert _same(spark, sf, "h02_relative_strength").rdd.getNumPartitions() >= many_symbols
