@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eqpanel.functions.asof import as_of_calendar
+from eqpanel.functions.series import spread
 
 SECTOR_FIELDS = {
     "sector": "sector_name",
@@ -49,7 +50,7 @@ def sectors_from_master(panel: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def universe_as_of(
-    dates: DataFrame, intervals: DataFrame, index_code: str, current_members: DataFrame | None = None,
+    dates: DataFrame, intervals: DataFrame, index_code: str, current_members: DataFrame | None = None, symbols_bound: int | None = None,
 ) -> DataFrame:
     """Index members on each date: one row per date and member.
 
@@ -60,7 +61,7 @@ def universe_as_of(
     days = _numbered(dates)
     members = intervals.where(F.col("index_code") == index_code).withColumn("symbol", F.upper(F.trim("symbol")))
     strict = (
-        _covered(members.select("symbol", "effective_from", "effective_to", "source", "source_snapshot_id"), days)
+        _covered(members.select("symbol", "effective_from", "effective_to", "source", "source_snapshot_id"), days, symbols_bound)
         .groupBy("as_of", "symbol")
         .agg(F.min("source").alias("source"), F.min("source_snapshot_id").alias("source_snapshot_id"))
         .select("as_of", "symbol", F.lit("STRICT_PIT").alias("mode"), "source", "source_snapshot_id")
@@ -94,9 +95,12 @@ def _placed(intervals: DataFrame, days: DataFrame) -> DataFrame:
     return d.where("__from <= __to").drop("__before", "__upto", "__end")
 
 
-def _covered(intervals: DataFrame, days: DataFrame) -> DataFrame:
-    """A row for each interval and date it covers: no more than the answer holds."""
-    d = _placed(intervals, days).withColumn("__no", F.explode(F.sequence("__from", "__to")))
+def _covered(intervals: DataFrame, days: DataFrame, symbols_bound: int | None = None) -> DataFrame:
+    """A row for each interval and date it covers: no more than the answer holds.
+
+    Intervals are few and their rows many, so they are dealt out before they are spread.
+    """
+    d = spread(_placed(intervals, days), symbols_bound, "symbol").withColumn("__no", F.explode(F.sequence("__from", "__to")))
     return d.join(F.broadcast(days), "__no").drop("__no", "__from", "__to")
 
 

@@ -135,7 +135,7 @@ def _late_members(spark, sf) -> DataFrame:
 @query("c05_universe_with_gaps")
 def c05g(spark, sf):
     """Only members that left again: dates before and after are answered by proxy."""
-    return PT.universe_as_of(QQ._dates(spark, sf), _late_members(spark, sf), "IDX", D.securities(spark, sf).select("symbol"))
+    return PT.universe_as_of(QQ._dates(spark, sf), _late_members(spark, sf), "IDX", D.securities(spark, sf).select("symbol"), D.symbol_bound(spark, sf))
 
 
 @query("c05_uncovered_with_gaps")

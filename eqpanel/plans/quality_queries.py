@@ -38,7 +38,7 @@ def c04(spark, sf):
 @query("c05_universe_as_of")
 def c05(spark, sf):
     current = D.securities(spark, sf).select("symbol")
-    return PT.universe_as_of(_dates(spark, sf), D.universe_intervals(spark, sf), "IDX", current)
+    return PT.universe_as_of(_dates(spark, sf), D.universe_intervals(spark, sf), "IDX", current, D.symbol_bound(spark, sf))
 
 
 @query("c05_universe_summary")

@@ -33,3 +33,7 @@ def test_ranks_sort_narrow_rows(spark, sf, many_symbols):
 
 def test_fields_are_settled_before_they_become_rows(spark, sf, many_symbols):
     assert _same(spark, sf, "l14_reconciliation").rdd.getNumPartitions() == many_symbols
+
+
+def test_intervals_are_dealt_out_before_they_are_spread(spark, sf, many_symbols):
+    assert _same(spark, sf, "c05_universe_as_of").rdd.getNumPartitions() >= many_symbols
