@@ -97,8 +97,12 @@ class Finding:
         return [(r, self.columns.get(r), self.method, self.confidence.get(r), self.accepted, self.problem) for r in ROLES]
 
 
-def _judged(table: DataFrame, method: str, columns: dict[str, str], shapes: Mapping) -> Finding:
-    """Confidence of each role of a complete mapping."""
+def _judged(table: DataFrame, method: str, columns: dict[str, str], shapes: Mapping, continuity: tuple[int, int] | None = None) -> Finding | None:
+    """Confidence of each role of a complete mapping.
+
+    ``continuity`` is that of the open and the close where it is known. Otherwise it
+    is looked for, by a sort of all rows, only if every other role holds; else None.
+    """
     f = Finding(method, columns)
     f.confidence = {
         "trading_date": shapes[columns["trading_date"]].dates, "symbol": shapes[columns["symbol"]].tickers, "volume": shapes[columns["volume"]].counts,
@@ -109,8 +113,11 @@ def _judged(table: DataFrame, method: str, columns: dict[str, str], shapes: Mapp
         F.avg((x["low"] <= F.least(x["open"], x["close"], x["high"])).cast("int")).alias("low"),
     ).first()
     f.confidence |= {"high": logic.high or 0.0, "low": logic.low or 0.0}
-    forward, back = _continuity(table, columns, x["open"], x["close"])
-    f.confidence["open"] = f.confidence["close"] = _sure(table, forward, back)
+    if continuity is None:
+        if any(sure < ACCEPT for sure in f.confidence.values()):
+            return None
+        continuity = _continuity(table, columns, x["open"], x["close"])
+    f.confidence["open"] = f.confidence["close"] = _sure(table, *continuity)
     weak = sorted(r for r in ROLES if f.confidence[r] < ACCEPT)
     f.problem = f"below {ACCEPT}: {', '.join(weak)}" if weak else None
     return f
@@ -168,8 +175,9 @@ def _by_shape(table: DataFrame, shapes: Mapping) -> Finding:
     f.columns |= {"high": prices[high], "low": prices[low]}
     a, b = (prices[i] for i in range(4) if i not in (high, low))
     forward, back = _continuity(table, f.columns, p[a], p[b])
+    # exchanged columns exchange the two counts
     f.columns |= {"open": a, "close": b} if forward >= back else {"open": b, "close": a}
-    return _judged(table, "SHAPE", f.columns, shapes)
+    return _judged(table, "SHAPE", f.columns, shapes, (max(forward, back), min(forward, back)))
 
 
 def detect_columns(table: DataFrame, ticker: str = TICKER, headers: Mapping[str, Sequence[str]] = HEADERS) -> DataFrame:
@@ -188,7 +196,7 @@ def detect_columns(table: DataFrame, ticker: str = TICKER, headers: Mapping[str,
     named = header_roles(table.columns, headers)
     if all(len(named[r]) == 1 and named[r][0] in shapes for r in ROLES):
         f = _judged(table, "HEADER", {r: named[r][0] for r in ROLES}, shapes)
-        if f.accepted:
+        if f is not None and f.accepted:
             return spark.createDataFrame(f.rows(), SCHEMA)
     return spark.createDataFrame(_by_shape(table, shapes).rows(), SCHEMA)
 

@@ -89,3 +89,16 @@ def test_extra_text_columns_and_a_few_gaps_do_no_harm(spark):
     t = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(8)))
     m, _, ok, _ = found(CO.detect_columns(t))
     assert ok and m["volume"] == "c6"
+
+
+def test_rows_are_sorted_once_for_a_mapping(spark, sf, monkeypatch):
+    """Neither for names that other checks refute, nor again for the mapping that the order itself gave."""
+    from eqpanel.plans.structure_queries import layouts
+    from eqpanel.sources import columns as CO
+
+    passes, real = [], CO._continuity
+    monkeypatch.setattr(CO, "_continuity", lambda *a: passes.append(1) or real(*a))
+    for name, t in layouts(spark, sf).items():
+        passes.clear()
+        found = CO.detect_columns(t, ticker=r"^S\d{9}$").collect()
+        assert found and len(passes) <= 1, name
