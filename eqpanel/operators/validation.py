@@ -112,7 +112,7 @@ def trial_counts(ledger: DataFrame) -> DataFrame:
     """Declared trials per family; repeated identifiers raise when read."""
     d = ledger.groupBy("family").agg(F.count("variant").alias("n"), F.count_distinct("variant").alias("u"))
     checked = F.when(
-        F.col("n") != F.col("u"), F.raise_error(F.lit("a tried variant is listed twice")).cast("long")
+        F.col("n") != F.col("u"), F.raise_error(F.lit("tried variants are not unique: one is listed twice")).cast("long")
     ).otherwise(F.col("n"))
     return d.select("family", checked.alias("trials_accounted"))
 
