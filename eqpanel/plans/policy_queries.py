@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eqpanel.functions import rules as RU
 from eqpanel.functions.checkpoints import checkpointed
-from eqpanel.functions.series import rolling_means, series_window
+from eqpanel.functions.series import rolling_means, series_window, spread
 from eqpanel.operators import market as MK
 from eqpanel.operators import outcomes as O
 from eqpanel.operators import pit as PT
@@ -38,9 +38,11 @@ def _gate_rows(spark, sf) -> DataFrame:
     """Every bar with what the gates ask for."""
     from eqpanel.plans.flow import analyse
 
-    a = analyse(D.bars(spark, sf), M._index_bars(spark, sf), M.INDEX_PRIORITY, D.symbol_bound(spark, sf))
-    kinds = PR.archetypes(PR.profiles(D.bars(spark, sf, with_sector=False)), 5e6, 9e6).select("symbol", "archetype")
-    f = rolling_means(a["features"].withColumn("sessions", F.row_number().over(series_window())), [("value", 20, 20, "adv20")])
+    bound = D.symbol_bound(spark, sf)
+    a = analyse(D.bars(spark, sf), M._index_bars(spark, sf), M.INDEX_PRIORITY, bound)
+    # one row per symbol, written so that its sorts and those of the panel are not held at once
+    kinds = checkpointed(PR.archetypes(PR.profiles(D.bars(spark, sf, with_sector=False)), 5e6, 9e6).select("symbol", "archetype"))
+    f = rolling_means(spread(a["features"], bound, "symbol").withColumn("sessions", F.row_number().over(series_window())), [("value", 20, 20, "adv20")])
     f = f.join(kinds, "symbol").join(F.broadcast(a["regimes"].select("trading_date", "regime_level")), "trading_date")  # one row per session
     v = F.col("volume")
     return f.select(
@@ -68,8 +70,7 @@ def l17x(spark, sf):
 
 @query("l17_score_deciles", "hit_rate:8 mean_outcome:8")
 def l17d(spark, sf):
-    f = M._features(spark, sf).select("symbol", "trading_date", "setup_quality")
-    return R.score_deciles(_trades(spark, sf).join(f, ["symbol", "trading_date"]), "setup_quality")
+    return R.score_deciles(_trades(spark, sf, "setup_quality"), "setup_quality")
 
 
 @query("l27_exit_reasons")

@@ -27,8 +27,8 @@ def l18(spark, sf):
     return R.deflated_sharpe(m.withColumn("trials", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 24, 500)]))))
 
 
-def _trades(spark, sf) -> DataFrame:
-    return O.trades(SQ._taken(spark, sf, "trend_confirmed"), "sector").withColumnRenamed("signal_date", "trading_date")
+def _trades(spark, sf, *extra: str) -> DataFrame:
+    return O.trades(SQ._taken(spark, sf, "trend_confirmed", *extra), "sector", *extra).withColumnRenamed("signal_date", "trading_date")
 
 
 _BOOT = "hit_rate:8 hit_rate_low:8 hit_rate_high:8 expectancy:10 expectancy_low:10 expectancy_high:10 effective_sample:4"

@@ -1,9 +1,12 @@
 """Panels of many symbols: a task's share is fixed, the results are those of the SQL."""
 
+import re
+
 import pytest
 
 from compare import compare, connect
 from eqpanel import params as P
+from eqpanel.plans import ingest_queries, policy_queries, research_queries
 from eqpanel.plans.catalog import ORACLES, QUERIES
 from eqpanel.sources import derived as D
 
@@ -37,3 +40,29 @@ def test_fields_are_settled_before_they_become_rows(spark, sf, many_symbols):
 
 def test_intervals_are_dealt_out_before_they_are_spread(spark, sf, many_symbols):
     assert _same(spark, sf, "c05_universe_as_of").rdd.getNumPartitions() >= many_symbols
+
+
+def test_ranks_meet_the_panel_in_as_many_parts_as_it_was_dealt_into(spark, sf, many_symbols):
+    """Not in the session's number of shuffle partitions, which does not grow with the panel."""
+    plan = _same(spark, sf, "h02_relative_strength")._jdf.queryExecution().executedPlan().toString()
+    parts = re.findall(r"hashpartitioning\(__key#\d+, (\d+)\)", plan)
+    assert set(parts) == {str(many_symbols)} and "coalesce(symbol" not in plan
+
+
+def test_daily_flow_deals_its_panel_out(spark, sf, many_symbols):
+    _same(spark, sf, "h19_daily_flow")
+    plan = ingest_queries._flow(spark, sf)[0]["regimes"]._jdf.queryExecution().executedPlan().toString()
+    panel = [x for x in plan.splitlines() if re.search(r"hashpartitioning\(symbol#\d+, ", x)]
+    assert panel and all(f", {many_symbols})" in x for x in panel)
+
+
+def test_gates_run_on_the_dealt_out_panel(spark, sf, many_symbols):
+    _same(spark, sf, "l10_gate_chain")
+    plan = policy_queries._gate_rows(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(symbol#\d+, (\d+)\)", plan)) == {str(many_symbols)}
+
+
+def test_score_deciles_read_the_panel_once(spark, sf, many_symbols):
+    _same(spark, sf, "l17_score_deciles")
+    plan = research_queries._trades(spark, sf, "setup_quality")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/lineitem.parquet") <= 1 and "trading_date" not in "".join(x for x in plan.splitlines() if "Join" in x)
