@@ -15,6 +15,11 @@ of fitting size and a few drawn ones, which joins groups of near copies; the
 second compares all that is still in different components, so no link between
 components is lost.
 
+A bitmap filter passes before texts are fetched. A set's sketch holds, for each of
+``BITS`` hash classes, whether its number of shingles is odd; two sets differ in at
+least as many shingles as their sketches differ in bits. A pair whose sketches
+differ by more than a link allows is no link, so the filter loses none.
+
 Null texts and texts without words have the empty set and link with nothing;
 fewer than five words are one shingle. Repeated rows fall in one class.
 """
@@ -40,6 +45,10 @@ NUM, DEN = 80, 100
 OCCUR = 4
 #: Partners drawn from a list for each of its rows in the first round.
 DRAWS = 2
+#: Bits of a set's sketch.
+BITS = 1024
+#: Pairs whose sketches are compared at once (128 bytes each, a few times).
+SKETCHED = 1 << 16
 #: Size of the count table that orders shingles.
 BUCKETS = 1 << 17
 #: Bytes of text hashed at once; a longer text is a block of its own.
@@ -157,24 +166,49 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of ``BITS`` classes, as 64-bit words."""
+    odd = np.bincount((s >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Sketches of a column, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+
+
+def may_link(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By pair: whether sets of ``n`` shingles together and these sketches can reach the threshold.
+
+    Sets that differ in d shingles share (n - d) / 2 of (n + d) / 2.
+    """
+    out = np.empty(len(n), bool)
+    for at in range(0, len(n), SKETCHED):
+        part = slice(at, at + SKETCHED)
+        differ = np.bitwise_count(x(part) ^ y(part)).sum(1, dtype=np.int64)
+        out[part] = (DEN + NUM) * differ <= (DEN - NUM) * n[part]
+    return out
+
+
 def _lists(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, size, the set's digest and its short lists, rarest first."""
+    """doc_id, size, the set's digest, its sketch and its short lists, rarest first."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                sizes, digests, keys = [], [], []
+                sizes, digests, sketches, keys = [], [], [], []
                 for s in shingles.each(part.column(1)):
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sketches.append(sketch(s).tobytes())
                     keys.append(s[np.lexsort((s, counts[_bucket(s)]))[: short(len(s))]].view(np.int64))
                 ends = np.cumsum([0, *map(len, keys)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), lists], names=["doc_id", "n", "digest", "sketch", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, digest binary, sketch binary, keys array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -183,7 +217,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols = [_sketches(c) if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if tail is not None:
             cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
         last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -261,11 +295,24 @@ def _across(group: np.ndarray, n: np.ndarray, comp: np.ndarray):
         at = stop
 
 
+def _mixed_lists(lists: DataFrame) -> DataFrame:
+    """Rows of the lists ``(key, n, rep, at, comp)`` that hold sets of more than one component."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _runs(batches):
+            first = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+            mixed = np.minimum.reduceat(cols[4], first) != np.maximum.reduceat(cols[4], first)
+            rows = np.repeat(mixed, np.diff(np.append(first, len(cols[0]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c[rows], pa.int64()) for c in cols], names=["key", "n", "rep", "at", "comp"])
+
+    return _sorted(lists, "at", "comp").mapInArrow(keep, "key long, n long, rep long, at long, comp long")
+
+
 def _merge(lists: DataFrame, every: bool) -> DataFrame:
     """Candidate pairs (a < b) of the merged lists ``(key, n, rep, at, comp)``.
 
-    With ``every`` all pairs of different components that can still reach T;
-    else a few for each row of a list.
+    With ``every`` all pairs of different components that can still reach T and
+    whose sketches, a further column, allow it; else a few for each row of a list.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,15 +323,18 @@ def _merge(lists: DataFrame, every: bool) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([*(pa.array(both[:, k], pa.int64()) for k in range(3)), pa.array(seen, pa.int64())], names=["a", "b", "least", "seen"])
 
-        for key, n, rep, at, comp in _runs(batches):
+        for key, n, rep, at, comp, *bits in _runs(batches):
             group = np.append(0, np.cumsum(key[1:] != key[:-1]))
             for i, j in _across(group, n, comp) if every else _near(key, group, n, rep):
                 total = n[i] + n[j]
                 need = -(-NUM * total // (NUM + DEN))
                 # the first OCCUR common shingles of a linked pair all pass this bound
                 can = np.minimum(n[i] - at[i], n[j] - at[j]) + OCCUR - 1 >= need
-                i, j = i[can], j[can]
-                held.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.minimum(OCCUR, need[can])], 1))
+                i, j, need, total = i[can], j[can], need[can], total[can]
+                if bits:
+                    can = may_link(total, lambda part, i=i: bits[0][i[part]], lambda part, j=j: bits[0][j[part]])
+                    i, j, need = i[can], j[can], need[can]
+                held.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.minimum(OCCUR, need)], 1))
                 size += len(i)
                 if size > PAIRS:
                     yield batch_of()
@@ -292,8 +342,21 @@ def _merge(lists: DataFrame, every: bool) -> DataFrame:
         if size:
             yield batch_of()
 
-    met = _sorted(lists, "at", "comp").mapInArrow(merge, "a long, b long, least long, seen long").groupBy("a", "b", "least").agg(F.sum("seen").alias("seen"))
-    return (met.filter("seen >= least") if every else met).select("a", "b")
+    met = _sorted(lists, "at", "comp", *(["sketch"] if every else [])).mapInArrow(merge, "a long, b long, least long, seen long").groupBy("a", "b", "least").agg(F.sum("seen").alias("seen"))
+    return met.filter("seen >= least").select("a", "b") if every else met.select("a", "b", "seen")
+
+
+def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs whose sketches allow a link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _sketches(batch.column(3)), _sketches(batch.column(4))
+            can = may_link(batch.column(2).to_numpy(), lambda part, x=x: x[part], lambda part, y=y: y[part])
+            yield batch.select([0, 1, 5]).filter(pa.array(can))
+
+    a, b = (reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb", "seen").mapInArrow(keep, "a long, b long, seen long")
 
 
 def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -315,24 +378,41 @@ def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield part.select([0, 1]).filter(pa.array(linked))
 
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = checkpointed(texts.join(used, "doc_id", "leftsemi"))
+    # shuffled once by doc_id: both joins read the same exchange
+    held = texts.join(used, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     # the last join leaves equal b together, whose set is made once
     return full.select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")
 
 
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component of ``joined``."""
+    a, b = (joined.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select("doc_id", "text")
     sets = checkpointed(_lists(docs, counted(docs)))
     # equal sets have equal lists, so any row's may stand for the class
-    reps = checkpointed(sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    shared = checkpointed(_shared(reps.select("rep", "n", F.posexplode("keys").alias("at", "key")).withColumn("at", F.col("at").cast("long"))))
-    texts = docs.filter("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
-    round1 = checkpointed(_settled(checkpointed(_merge(shared.withColumn("comp", F.col("rep")), every=False)), texts))
+    equal = sets.filter("n > 0 and doc_id is not null").groupBy("digest")
+    rep, of_set = F.min("doc_id").alias("rep"), {c: F.first(c).alias(c) for c in ("n", "sketch", "keys")}
+    reps = checkpointed(equal.agg(rep, of_set["n"], of_set["sketch"]))
+    lists = equal.agg(rep, of_set["n"], of_set["keys"]).select("rep", "n", F.posexplode("keys").alias("at", "key"))
+    shared = checkpointed(_shared(lists.withColumn("at", F.col("at").cast("long"))))
+    texts = docs.filter("doc_id is not null and text is not null")
+    near = checkpointed(_likely(_merge(shared.withColumn("comp", F.col("rep")), every=False), reps))
+    # a document's best partner first; of the other pairs only those it leaves apart
+    best = near.groupBy("b").agg(F.max_by("a", F.struct("seen", "a")).alias("a")).select("a", "b")
+    linked = checkpointed(_settled(checkpointed(best), texts))
+    linked = linked.unionByName(checkpointed(_settled(checkpointed(_apart(near.select("a", "b"), components(linked))), texts)))
+    round1 = checkpointed(linked)
     joined = checkpointed(components(round1))
     known = shared.join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    round2 = checkpointed(_settled(checkpointed(_merge(known, every=True)), texts))
+    mixed = checkpointed(_mixed_lists(known)).join(reps.select("rep", "sketch"), "rep")
+    round2 = checkpointed(_settled(checkpointed(_merge(mixed, every=True)), texts))
     final = components(round1.unionByName(round2)).withColumnRenamed("id", "rep")
     answer = reps.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     narrow = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest")

@@ -214,6 +214,39 @@ def test_jaccard_equals_all_pairs(docs, spark):
     assert len(links) > 50
 
 
+def test_sketches_reject_no_link():
+    drawn = np.random.default_rng(3).integers(0, 1 << 64, 400, np.uint64, endpoint=False)
+    base, other = drawn[:300], drawn[300:]
+    links = 0
+    for changed in range(0, 120, 3):
+        x, y = np.sort(base), np.sort(np.append(base[changed:], other[: changed // 2]))
+        both = len(np.intersect1d(x, y))
+        a, b = (jaccard.sketch(v).reshape(1, -1) for v in (x, y))
+        can = jaccard.may_link(np.array([len(x) + len(y)]), lambda part, a=a: a[part], lambda part, b=b: b[part])[0]
+        link = 100 * both >= 80 * (len(x) + len(y) - both)
+        assert can or not link
+        links += link
+    assert 5 < links < 35 and not can
+
+
+def test_copies_below_the_threshold_make_few_pairs(spark):
+    """Copies of one text that differ too much to link: their pairs do not become rows."""
+    base = [f"word{i}" for i in range(400)]
+    rows = []
+    for d in range(60):
+        words = list(base)
+        for k in range(6):
+            words[(d * 61 + k * 67) % 400] = f"own{d}x{k}"
+        rows.append((d, " ".join(words)))
+    s = [jaccard.Shingles().of(t) for _, t in rows]
+    shared = [len(np.intersect1d(s[i], s[j])) for i in range(60) for j in range(i)]
+    links = sum(100 * n >= 80 * (2 * 396 - n) for n in shared)
+    assert len(shared) - links > 1000
+    table = [(int(k), len(x), d, int(at), d, jaccard.sketch(x).tobytes()) for d, x in enumerate(s) for at, k in enumerate(np.sort(x).view(np.int64)[:80])]
+    lists = spark.createDataFrame(table, "key long, n long, rep long, at long, comp long, sketch binary")
+    assert jaccard._merge(lists, every=True).count() <= links + 60
+
+
 def test_spans_equal_plain_loop(docs, spark):
     rows = [r for r in docs[0] if r[0] is not None]
     text = max((x for _, x in rows if x), key=len)
