@@ -51,6 +51,8 @@ BITS = 1024
 SKETCHED = 1 << 16
 #: Size of the count table that orders shingles.
 BUCKETS = 1 << 17
+#: 64-bit words of the bitmap that picks the texts to fetch (a broadcast table of as many rows at most).
+PICKED = 1 << 17
 #: Bytes of text hashed at once; a longer text is a block of its own.
 BLOCK = 1 << 20
 #: Pairs made at once inside a task.
@@ -359,6 +361,19 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb", "seen").mapInArrow(keep, "a long, b long, seen long")
 
 
+def _fetched(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose doc_id is in the distinct ``ids``, one of each.
+
+    A bitmap of hashed ids, of fixed size, keeps all but a few of the other texts
+    out of the shuffle; the join behind it is exact, however full the bitmap is.
+    """
+    word, bit = f"shiftrightunsigned(xxhash64(doc_id), 6) % {PICKED}", "int(xxhash64(doc_id) & 63)"
+    bitmap = ids.groupBy(F.expr(word).alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("__bits"))
+    likely = texts.withColumn("__word", F.expr(word)).join(F.broadcast(bitmap), "__word").where(f"getbit(__bits, {bit}) = 1")
+    # no semi join, which Spark would move below the bitmap's
+    return likely.select(*texts.columns).join(ids, "doc_id").dropDuplicates(["doc_id"])
+
+
 def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs that link, by binary search of the smaller set in the larger."""
 
@@ -379,7 +394,7 @@ def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # shuffled once by doc_id: both joins read the same exchange
-    held = texts.join(used, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
+    held = _fetched(texts, used)
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     # the last join leaves equal b together, whose set is made once
     return full.select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")

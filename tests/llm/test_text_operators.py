@@ -247,6 +247,37 @@ def test_copies_below_the_threshold_make_few_pairs(spark):
     assert jaccard._merge(lists, every=True).count() <= links + 60
 
 
+def shuffled_rows(plan) -> int:
+    """Rows that the exchanges of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().get("shuffleRecordsWritten")
+    below = plan.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_only_the_texts_of_pairs_are_shuffled(spark):
+    """However many documents there are, and though the ids are too many to be broadcast."""
+    texts = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    ids = spark.range(0, 20_000, 400).selectExpr("id as doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard._fetched(texts.unionByName(texts), ids)
+        rows = sorted(map(tuple, got.collect()))
+        pairs = ids.selectExpr("doc_id as a", "doc_id + 400 as b").where("b < 20000")
+        linked = jaccard._settled(pairs, texts)
+        assert linked.collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == [(d, f"text {d}") for d in range(0, 20_000, 400)]
+    for df in (got, linked):
+        assert 0 < shuffled_rows(df._jdf.queryExecution().executedPlan()) < 2_000
+
+
 def test_spans_equal_plain_loop(docs, spark):
     rows = [r for r in docs[0] if r[0] is not None]
     text = max((x for _, x in rows if x), key=len)
