@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,11 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def each_row(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
+#: What this worker process remembers from task to task, by (maker, arguments).
+_HELD: dict[tuple, object] = {}
+
+
+def held(*key):
+    """``key[0](*key[1:])``, made once per worker process, so that its tasks share what they have met."""
+    if key not in _HELD:
+        _HELD[key] = key[0](*key[1:])
+    return _HELD[key]
+
+
+def vacate(keep: tuple | None = None) -> None:
+    """Forget all that is held but ``keep``, and give freed memory back to the system.
+
+    Spark uses a worker again for the tasks of whatever comes next. What one
+    operator left there, and what the allocators keep for themselves, would add up.
+    """
+    for key in [k for k in _HELD if k != keep]:
+        del _HELD[key]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def alone(run: Callable[[Iterator], Iterator], keep: tuple | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches in a worker that holds nothing but ``keep`` before and after."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate(keep)
+        yield from run(batches)
+        vacate(keep)
+
+    return task
+
+
+def each_row(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, keep: tuple | None = None) -> DataFrame:
     """Rows that ``make()(*values)`` yields for each row of ``df``.
 
     ``make`` runs once per task, so that models and caches are built there.
-    Only ``columns`` leave the JVM, in slices of ``SLICE_ROWS``.
+    Only ``columns`` leave the JVM, in slices of ``SLICE_ROWS``. ``keep`` is the key of what
+    ``make`` takes from ``held``.
     """
     names = [part.strip().split()[0] for part in schema.split(",")]
     target = pa.schema([(n, _arrow(part.strip().split()[1])) for n, part in zip(names, schema.split(","), strict=True)])
@@ -34,7 +74,7 @@ def each_row(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
-    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(alone(run, keep), schema)
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqpanel.functions.checkpoints import checkpointed
-from eqpanel.llm.common import SLICE_ROWS, table
+from eqpanel.llm.common import SLICE_ROWS, alone, table
 from eqpanel.llm.components import components
 
 WORDS = 5
@@ -159,7 +159,7 @@ def counted(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(seen[hit], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(alone(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
@@ -210,7 +210,7 @@ def _lists(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), lists], names=["doc_id", "n", "digest", "sketch", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, digest binary, sketch binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(alone(make), "doc_id long, n long, digest binary, sketch binary, keys array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -243,7 +243,7 @@ def _shared(lists: DataFrame) -> DataFrame:
             both = np.append(same, False) | np.append(False, same)
             yield pa.RecordBatch.from_arrays([pa.array(c[both], pa.int64()) for c in cols], names=["key", "n", "rep", "at"])
 
-    return _sorted(lists, "at").mapInArrow(keep, "key long, n long, rep long, at long")
+    return _sorted(lists, "at").mapInArrow(alone(keep), "key long, n long, rep long, at long")
 
 
 def _fitting(group: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +307,7 @@ def _mixed_lists(lists: DataFrame) -> DataFrame:
             rows = np.repeat(mixed, np.diff(np.append(first, len(cols[0]))))
             yield pa.RecordBatch.from_arrays([pa.array(c[rows], pa.int64()) for c in cols], names=["key", "n", "rep", "at", "comp"])
 
-    return _sorted(lists, "at", "comp").mapInArrow(keep, "key long, n long, rep long, at long, comp long")
+    return _sorted(lists, "at", "comp").mapInArrow(alone(keep), "key long, n long, rep long, at long, comp long")
 
 
 def _merge(lists: DataFrame, every: bool) -> DataFrame:
@@ -344,7 +344,7 @@ def _merge(lists: DataFrame, every: bool) -> DataFrame:
         if size:
             yield batch_of()
 
-    met = _sorted(lists, "at", "comp", *(["sketch"] if every else [])).mapInArrow(merge, "a long, b long, least long, seen long").groupBy("a", "b", "least").agg(F.sum("seen").alias("seen"))
+    met = _sorted(lists, "at", "comp", *(["sketch"] if every else [])).mapInArrow(alone(merge), "a long, b long, least long, seen long").groupBy("a", "b", "least").agg(F.sum("seen").alias("seen"))
     return met.filter("seen >= least").select("a", "b") if every else met.select("a", "b", "seen")
 
 
@@ -358,7 +358,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             yield batch.select([0, 1, 5]).filter(pa.array(can))
 
     a, b = (reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb", "seen").mapInArrow(keep, "a long, b long, seen long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb", "seen").mapInArrow(alone(keep), "a long, b long, seen long")
 
 
 def _fetched(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -397,7 +397,7 @@ def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     held = _fetched(texts, used)
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     # the last join leaves equal b together, whose set is made once
-    return full.select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")
+    return full.select("a", "b", "x", "y").mapInArrow(alone(settle), "a long, b long")
 
 
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:

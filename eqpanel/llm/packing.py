@@ -11,14 +11,13 @@ Null and empty texts hold only the end id. Repeated rows are packed each.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eqpanel.llm.common import Recent, each_row, table
+from eqpanel.llm.common import Recent, each_row, held, table
 
 LIMIT = 4096
 END_ID = 2
@@ -56,12 +55,6 @@ class Words(Recent):
         return b"".join([self[w] if len(w) <= LONG_WORD else self.made(w) for w in text.replace("\n", " ").split(" ")])
 
 
-@functools.cache
-def words_of(path: str) -> Words:
-    """One per worker process, so that its tasks share what they have met."""
-    return Words(path)
-
-
 def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
     whole = n // limit
@@ -79,7 +72,7 @@ def pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
 
     def make():
-        words = words_of(path)
+        words = held(Words, path)
         end = array("I", [END_ID]).tobytes()
 
         def row(doc_id, text):
@@ -90,7 +83,7 @@ def pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
 
         return row
 
-    out = each_row(docs, ["doc_id", "text"], make, schema)
+    out = each_row(docs, ["doc_id", "text"], make, schema, keep=(Words, path))
     return out.select("*", F.log2("length").cast("long").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqpanel.functions.checkpoints import checkpointed
-from eqpanel.llm.common import SLICE_ROWS, each_row, table
+from eqpanel.llm.common import SLICE_ROWS, alone, each_row, table, vacate
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 NEAR = 40
@@ -137,7 +137,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
         yield flush()
 
     asked = candidates.unionByName(docs.sparkSession.range(1).select(F.lit(LINE).alias("term")))
-    everywhere = checkpointed(docs.select("text").mapInArrow(counts, "term string, n long").join(asked, "term", "leftsemi").groupBy("term").agg(F.sum("n").alias("n")))
+    everywhere = checkpointed(docs.select("text").mapInArrow(alone(counts), "term string, n long").join(asked, "term", "leftsemi").groupBy("term").agg(F.sum("n").alias("n")))
     lines = everywhere.filter(F.col("term") == LINE).select(F.col("n").alias("lines"))  # one row
     judged = near.join(everywhere, "term").join(entities, "who").join(F.broadcast(lines))
     share = F.col("shown") / F.col("n")
@@ -204,6 +204,7 @@ def clean_rows(docs: DataFrame) -> DataFrame:
     def cleaned(text, own):
         import pandas as pd
 
+        vacate()
         return pd.Series([None if t is None else sanitised(t, all_spans(t, set(o) if o is not None and len(o) else shared)[1]) for t, o in zip(text, own, strict=True)], dtype=object)
 
     return given.withColumn("text", cleaned("text", "__terms")).select(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eqpanel.llm.common import each_row, table
+from eqpanel.llm.common import each_row, table, vacate
 
 #: Bound of the labelled rows the forest is fitted on.
 SAMPLE = 4000
@@ -164,6 +164,8 @@ def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @pandas_udf(T.BooleanType())
     def passes(text):
+        vacate()
+
         def one(t):
             s = stats(t)
             return not base_failed(s[0], s[4]) and not (model is not None and model[0].score(features(s)) > model[1])

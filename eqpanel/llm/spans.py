@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eqpanel.llm.common import table
+from eqpanel.llm.common import alone, table, vacate
 
 RUN, LEAST, NEAR = 2, 15, 9
 #: Runs compared within a task before they are sent on (about 100 bytes each).
@@ -144,7 +144,7 @@ def covered(docs: DataFrame) -> DataFrame:
     however many places it has, so a passage of many documents is no hot key.
     """
     keyed = docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
-    rows = keyed.mapInArrow(_places, "certain boolean, key long, doc_id long, text_hash int, span long")
+    rows = keyed.mapInArrow(alone(_places), "certain boolean, key long, doc_id long, text_hash int, span long")
     # rows alike in all of doc_id, text and span are one place and share the first rank
     rank = F.rank().over(Window.partitionBy("certain", "key").orderBy("doc_id", "text_hash", "span"))
     later = rows.withColumn("k", rank).filter("certain or k > 1")
@@ -158,6 +158,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     @pandas_udf("text string, removed long")
     def without(text, spans):
+        vacate()
+
         def one(t, spans):
             if t is None or spans is None:
                 return t, 0

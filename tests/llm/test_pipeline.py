@@ -5,7 +5,7 @@ from collections import defaultdict
 import corpus_pipeline
 import pytest
 
-from eqpanel.llm import jaccard, pii, quality, spans
+from eqpanel.llm import jaccard, packing, pii, quality, spans
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,33 @@ def test_stages_on_odd_tables(spark, sf, given):
             out = stage(spark, table, sf)
             assert name == "packing" or out.columns == docs.columns
             out.collect()
+
+
+def test_workers_do_not_keep_what_an_earlier_stage_remembered(spark, given):
+    docs, labels = given
+    # more tasks than workers, so that each worker gets some
+    dealt = docs.repartition(64).cache()
+
+    def left(batches):
+        import gc
+        import os
+
+        import pyarrow as pa
+
+        from eqpanel.llm.packing import Words
+
+        for _ in batches:
+            pass
+        words = sum(len(o) for o in gc.get_objects() if isinstance(o, Words))
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([words], pa.int64())], names=["pid", "words"])
+
+    def remembered():
+        return max(r.words for r in dealt.select("doc_id").mapInArrow(left, "pid long, words long").collect())
+
+    stages = [lambda: quality.kept_rows(dealt, labels).count(), lambda: jaccard.counted(dealt), lambda: spans.covered(dealt).count(), lambda: pii.clean_rows(dealt).write.format("noop").mode("overwrite").save()]
+    for later in stages:
+        packing.pack(dealt).write.format("noop").mode("overwrite").save()
+        assert remembered() > 0
+        later()
+        assert remembered() == 0
+    dealt.unpersist()
