@@ -66,3 +66,24 @@ def test_score_deciles_read_the_panel_once(spark, sf, many_symbols):
     _same(spark, sf, "l17_score_deciles")
     plan = research_queries._trades(spark, sf, "setup_quality")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("/lineitem.parquet") <= 1 and "trading_date" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_sectors_join_the_bars_as_they_are_dealt_out(spark, sf, monkeypatch):
+    from eqpanel.functions import series as S
+    from eqpanel.sources import derived as D
+
+    want = sorted(map(str, D.bars(spark, sf).collect()))
+    monkeypatch.setattr(S.P, "SYMBOLS_PER_TASK", 1)
+    monkeypatch.setattr(S, "many", lambda df, symbols: True)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # a supplier table too large to broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        dealt = D.bars(spark, sf)
+        rows = sorted(map(str, dealt.collect()))
+        plan = dealt._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows == want
+    # sorted for the series and the suppliers' side only
+    assert "SortMergeJoin" in plan and plan.count(") Sort ") == 2
