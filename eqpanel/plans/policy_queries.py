@@ -14,8 +14,10 @@ from eqpanel.operators import pit as PT
 from eqpanel.operators import policy as PO
 from eqpanel.operators import profiles as PR
 from eqpanel.operators import quality as Q
+from eqpanel.operators import relative_strength as RS
 from eqpanel.operators import research as R
 from eqpanel.plans import market_queries as M
+from eqpanel.plans import profile_queries as PQ
 from eqpanel.plans import quality_queries as QQ
 from eqpanel.plans import signal_queries as SQ
 from eqpanel.plans.registry import query
@@ -36,14 +38,16 @@ def l09(spark, sf):
 
 def _gate_rows(spark, sf) -> DataFrame:
     """Every bar with what the gates ask for."""
-    from eqpanel.plans.flow import analyse
+    from eqpanel.plans import flow as FL
 
     bound = D.symbol_bound(spark, sf)
-    a = analyse(D.bars(spark, sf), M._index_bars(spark, sf), M.INDEX_PRIORITY, bound)
-    # one row per symbol, written so that its sorts and those of the panel are not held at once
-    kinds = checkpointed(PR.archetypes(PR.profiles(D.bars(spark, sf, with_sector=False)), 5e6, 9e6).select("symbol", "archetype"))
-    f = rolling_means(spread(a["features"], bound, "symbol").withColumn("sessions", F.row_number().over(series_window())), [("value", 20, 20, "adv20")])
-    f = f.join(kinds, "symbol").join(F.broadcast(a["regimes"].select("trading_date", "regime_level")), "trading_date")  # one row per session
+    bars = D.stored_bars(spark, sf)
+    regimes = FL.market(bars, M._index_bars(spark, sf, bars), M.INDEX_PRIORITY, bound)["regimes"]
+    kinds = PQ._kinds(bars, bound)
+    f = rolling_means(FL.features(bars, bound).withColumn("sessions", F.row_number().over(series_window())), [("value", 20, 20, "adv20")])
+    # of the panel only what the gates ask for is shuffled, once, and nothing of it is written
+    f = RS.add_cross_sectional_rs(f.join(kinds, "symbol"), symbols_bound=bound, carried=True)
+    f = f.join(F.broadcast(regimes.select("trading_date", "regime_level")), "trading_date")  # one row per session
     v = F.col("volume")
     return f.select(
         "symbol", "trading_date", "regime_level", F.lit(True).alias("member"), "sessions", "adv20", (v % 47 == 0).alias("flagged"), "archetype",

@@ -87,3 +87,37 @@ def test_sectors_join_the_bars_as_they_are_dealt_out(spark, sf, monkeypatch):
     assert rows == want
     # sorted for the series and the suppliers' side only
     assert "SortMergeJoin" in plan and plan.count(") Sort ") == 2
+
+
+def _written(spark, tmp_path, monkeypatch, run) -> dict[int, int]:
+    """Columns of each table that ``run`` writes on the way, with its rows."""
+    from eqpanel.functions import checkpoints
+
+    monkeypatch.setattr(checkpoints, "checkpoint_dir", lambda _: str(tmp_path))
+    run().collect()
+    tables = [spark.read.parquet(str(p)) for p in tmp_path.glob("table-*")]
+    return {len(t.columns): t.count() for t in tables}
+
+
+@pytest.mark.parametrize("name", ["l10_gate_chain", "l10_gate_funnel"])
+def test_gates_write_no_panel(spark, sf, many_symbols, tmp_path, monkeypatch, name):
+    """The bars and one row per symbol, and no feature of a bar."""
+    bars = len(D.bars(spark, sf).columns)
+    written = _written(spark, tmp_path, monkeypatch, lambda: QUERIES[name].run(spark, sf))
+    assert set(written) == {bars, 2} and written[2] <= many_symbols
+
+
+@pytest.mark.parametrize("name", ["l10_gate_chain", "l10_gate_funnel"])
+def test_gates_scan_the_order_lines_once(spark, sf, many_symbols, name):
+    """That is for the bars; index, archetypes and features are read from these."""
+    d = QUERIES[name].run(spark, sf)
+    assert "/lineitem.parquet" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_carried_ranks_are_the_joined_ones(spark, sf, many_symbols):
+    from eqpanel.operators import relative_strength as RS
+
+    bars = D.stored_bars(spark, sf)
+    want, got = (RS.add_cross_sectional_rs(bars, symbols_bound=many_symbols, carried=c) for c in (False, True))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
