@@ -44,7 +44,8 @@ def _gate_rows(spark, sf) -> DataFrame:
     bars = D.stored_bars(spark, sf)
     regimes = FL.market(bars, M._index_bars(spark, sf, bars), M.INDEX_PRIORITY, bound)["regimes"]
     kinds = PQ._kinds(bars, bound)
-    f = rolling_means(FL.features(bars, bound).withColumn("sessions", F.row_number().over(series_window())), [("value", 20, 20, "adv20")])
+    f = FL.features(bars, bound, D.session_bound(bars))
+    f = rolling_means(f.withColumn("sessions", F.row_number().over(series_window())), [("value", 20, 20, "adv20")])
     # of the panel only what the gates ask for is shuffled, once, and nothing of it is written
     f = RS.add_cross_sectional_rs(f.join(kinds, "symbol"), symbols_bound=bound, carried=True)
     f = f.join(F.broadcast(regimes.select("trading_date", "regime_level")), "trading_date")  # one row per session

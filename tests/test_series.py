@@ -1,12 +1,14 @@
 """Window helpers against pandas on the same rows, and their invariants."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from eqpanel.functions.ordered import quantiles, value_positions, with_rank_pct
-from eqpanel.functions.series import ewm, rolling_means, rolling_zscore, unique_bars
+from eqpanel.functions.series import Smoothing, ewm, rolling_means, rolling_zscore, unique_bars
 from eqpanel.operators.features import FEATURE_COLUMNS, add_baseline_features
 
 
@@ -154,3 +156,33 @@ def test_blocks_keep_null_keys(spark):
         assert {(r.k, r.v): r.pct for r in ranks} == {(None, 1.0): 50, (None, 2.0): 100, ("a", 3.0): 100, ("a", None): None}
         numbers = with_row_number(rows, ["k"], [F.col("v").desc()], "rn", bound).collect()
         assert sorted((r.k or "", r.rn) for r in numbers) == [("", 1), ("", 2), ("a", 1), ("a", 2)]
+
+
+def test_one_block_smooths_as_several_do(spark):
+    """Where a bound on the rows leaves one block, the values are the same to the last bit, also behind a gap."""
+    rng = random.Random(5)
+    rows = [(s, d, None if (s, d) in ((0, 0), (1, 40)) else rng.uniform(1, 9), rng.random() < 0.5) for s in range(3) for d in range(90)]
+    df = spark.createDataFrame(rows, "symbol int, trading_date int, x double, fell boolean")
+    specs = [("x", 1 / 14, 14, "a"), ("x", 2 / 21, 20, "b", 1)]
+    want, got = (sorted(map(tuple, ewm(df, specs, rows=n).collect()), key=str) for n in (None, 90))
+    assert got == want and any(r[-1] is not None for r in got)
+    flagged = lambda d: sorted((r.symbol, r.trading_date, r.a) for r in d.where("fell").collect())
+    own = ewm(df, specs[:1], keys=["symbol", "fell"])
+    assert flagged(ewm(df, specs[:1], rows=90, among="fell")) == flagged(own)
+
+
+def test_a_flag_needs_one_block(spark):
+    with pytest.raises(ValueError):
+        Smoothing([("x", 1 / 14, 14, "a")], rows=5000, among="fell")
+
+
+def test_short_series_are_sorted_once(spark, sf):
+    from eqpanel.plans import flow as FL
+    from eqpanel.sources import derived as D
+
+    bars = D.stored_bars(spark, sf)
+    columns = [c for c in FL.TRADED if not c.startswith("rs_")]
+    want, got = (FL.features(bars, None, n).select(*columns) for n in (None, D.session_bound(bars)))
+    sorts = lambda d: d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [")
+    assert sorts(got) == 1 < sorts(want)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

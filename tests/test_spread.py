@@ -121,3 +121,13 @@ def test_carried_ranks_are_the_joined_ones(spark, sf, many_symbols):
     want, got = (RS.add_cross_sectional_rs(bars, symbols_bound=many_symbols, carried=c) for c in (False, True))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_candidates_are_few_and_folded_at_once(spark, sf, monkeypatch):
+    """However many symbols there are: the largest group of candidates counts, not the bound on it."""
+    from eqpanel.operators import risk as RK
+
+    monkeypatch.setattr(P, "MAX_FOLD_GROUP", 5)
+    assert D.symbol_bound(spark, sf) > P.MAX_FOLD_GROUP
+    monkeypatch.setattr(RK, "_accepted_by_rounds", lambda *a: pytest.fail("rounds"))
+    _same(spark, sf, "c07_h19_approved_candidates")
