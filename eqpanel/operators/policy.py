@@ -34,26 +34,50 @@ def gate_chain(
     risk_reward, risk_stop, exit_stop, entry_price, ceiling. Momentum wants a
     high short rank, everything else a low one.
     """
+    return ranked_gate(known_gates(rows, adv_floor, least_sessions, risk_limit, floors, least_sample)).drop(*KNOWN)
+
+
+#: What ``known_gates`` adds.
+KNOWN = ("__first", "__momentum", "__behind")
+
+
+def known_gates(
+    rows: DataFrame, adv_floor: float, least_sessions: int = 280, risk_limit: float = 75.0, floors: Mapping[str, int] = REGIME_FLOOR, least_sample: int = 30
+) -> DataFrame:
+    """The part of ``gate_chain`` that needs no rank, so that rows can be ranked without the columns behind it.
+
+    Adds the first failing gate before the ranks' gate, whether the row is momentum,
+    and the first failing gate behind the ranks'.
+    """
     c = F.col
     ok = lambda x: F.coalesce(x, F.lit(False))
     floor = F.coalesce(*[F.when(c("archetype") == a, F.lit(n)) for a, n in floors.items()])
     momentum = ok(c("family") == "MOMENTUM")
-    short = F.when(momentum, c("short_rank") >= P.RS_SHORT_MOMENTUM_MIN).otherwise(c("short_rank") <= P.RS_SHORT_PULLBACK_MAX)
     likely = (F.coalesce("sample", F.lit(0)) < least_sample) | (c("win_probability") >= 0.55)
     geometry = (
         (c("score") >= 60) & ok(likely) & (c("r_unit") / c("atr14") >= 0.8) & (c("risk_reward") >= 1.7) & (c("risk_stop") < c("exit_stop"))
         & (c("exit_stop") < c("entry_price")) & (c("entry_price") < c("ceiling") * 0.995)
     )
-    gates = {
+    before = {
         "GATE0_REGIME": c("regime_level") > 0,
         "GATE1_ELIGIBILITY": c("member") & (c("sessions") >= least_sessions) & (c("adv20") >= adv_floor) & ~c("flagged") & (c("archetype") != "EXCLUDED"),
         "GATE2_RISK": (c("risk_proxy") < risk_limit) & (c("dq_score") >= P.DQ_ACTIONABLE_BLOCK),
         "GATE3_ARCHETYPE_REGIME": (c("regime_level") >= floor) & c("exogenous_ok"),
-        "GATE4A_DUAL_CONDITION": (c("long_rank") >= P.RS_LONG_MIN) & short,
+    }
+    behind = {
         "GATE4B_SETUP": c("family").isNotNull() & (volume_score(c("family"), c("volume_z60")) > 0),
         "GATE5_GEOMETRY": geometry,
     }
-    return rows.withColumn("gate", F.coalesce(*[F.when(~ok(x), F.lit(n)) for n, x in gates.items()], F.lit("PASSED")))
+    first = lambda gates: F.coalesce(*[F.when(~ok(x), F.lit(n)) for n, x in gates.items()])
+    return rows.withColumns(dict(zip(KNOWN, (first(before), momentum, first(behind)), strict=True)))
+
+
+def ranked_gate(known: DataFrame) -> DataFrame:
+    """``known_gates`` with long_rank and short_rank: adds ``gate`` as ``gate_chain`` does."""
+    c = F.col
+    short = F.when(c("__momentum"), c("short_rank") >= P.RS_SHORT_MOMENTUM_MIN).otherwise(c("short_rank") <= P.RS_SHORT_PULLBACK_MAX)
+    dual = F.coalesce((c("long_rank") >= P.RS_LONG_MIN) & short, F.lit(False))
+    return known.withColumn("gate", F.coalesce("__first", F.when(~dual, F.lit("GATE4A_DUAL_CONDITION")), "__behind", F.lit("PASSED")))
 
 
 def exit_decision(row: Mapping[str, Column]) -> Column:

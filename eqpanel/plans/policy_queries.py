@@ -37,7 +37,7 @@ def l09(spark, sf):
 
 
 def _gate_rows(spark, sf) -> DataFrame:
-    """Every bar with what the gates ask for."""
+    """Every bar with what the gates say that need no rank, and its ranks."""
     from eqpanel.plans import flow as FL
 
     bound = D.symbol_bound(spark, sf)
@@ -46,23 +46,25 @@ def _gate_rows(spark, sf) -> DataFrame:
     kinds = PQ._kinds(bars, bound)
     f = FL.features(bars, bound, D.session_bound(bars))
     f = rolling_means(f.withColumn("sessions", F.row_number().over(series_window())), [("value", 20, 20, "adv20")])
-    # of the panel only what the gates ask for is shuffled, once, and nothing of it is written
-    f = RS.add_cross_sectional_rs(f.join(kinds, "symbol"), symbols_bound=bound, carried=True)
-    f = f.join(F.broadcast(regimes.select("trading_date", "regime_level")), "trading_date")  # one row per session
+    f = f.join(kinds, "symbol").join(F.broadcast(regimes.select("trading_date", "regime_level")), "trading_date")  # one row per session
     v = F.col("volume")
-    return f.select(
-        "symbol", "trading_date", "regime_level", F.lit(True).alias("member"), "sessions", "adv20", (v % 47 == 0).alias("flagged"), "archetype",
+    f = f.select(
+        "symbol", "trading_date", "sector", "close", "regime_level", F.lit(True).alias("member"), "sessions", "adv20", (v % 47 == 0).alias("flagged"), "archetype",
         (v % 100).cast("double").alias("risk_proxy"), F.lit(100).alias("dq_score"), F.when(v % 53 != 0, v % 29 != 0).alias("exogenous_ok"),
-        F.col("rs_stock_market_rank_126").alias("long_rank"), F.col("rs_stock_market_rank_20").alias("short_rank"), _family().alias("family"), "volume_z60",
+        _family().alias("family"), "volume_z60",
         (F.col("setup_quality") * 100).alias("score"), F.lit(0.5).alias("win_probability"), (v % 40).alias("sample"), "r_unit", "atr14", "risk_reward",
         "risk_stop", "exit_stop", "entry_price", (F.col("close") * 1.07).alias("ceiling"),
     )
+    # of the panel only what the gates say and the returns are shuffled, once, and nothing of it is written
+    f = PO.known_gates(f, adv_floor=2e6, least_sessions=130).select("symbol", "trading_date", "sector", "close", "archetype", *PO.KNOWN)
+    f = RS.add_cross_sectional_rs(f, symbols_bound=bound, carried=True)
+    return f.withColumns({"long_rank": F.col("rs_stock_market_rank_126"), "short_rank": F.col("rs_stock_market_rank_20")})
 
 
 @query("l10_gate_chain")
 def l10g(spark, sf):
     """The full chain: rows stopped at each gate, per archetype."""
-    d = PO.gate_chain(_gate_rows(spark, sf), adv_floor=2e6, least_sessions=130)
+    d = PO.ranked_gate(_gate_rows(spark, sf))
     return d.groupBy("archetype", "gate").agg(F.count(F.lit(1)).alias("rows"))
 
 

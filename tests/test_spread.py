@@ -131,3 +131,9 @@ def test_candidates_are_few_and_folded_at_once(spark, sf, monkeypatch):
     assert D.symbol_bound(spark, sf) > P.MAX_FOLD_GROUP
     monkeypatch.setattr(RK, "_accepted_by_rounds", lambda *a: pytest.fail("rounds"))
     _same(spark, sf, "c07_h19_approved_candidates")
+
+
+def test_gates_are_judged_before_the_ranks(spark, sf, many_symbols):
+    """So that no number behind a gate is shuffled with the returns."""
+    d = policy_queries._gate_rows(spark, sf)
+    assert not {"r_unit", "atr14", "entry_price", "adv20", "volume_z60", "score"} & set(d.columns)
